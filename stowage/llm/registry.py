@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from stowage.llm import mixing, sharding
+from stowage.llm import line_dedup, mixing, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op7_packing": packing.op7_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
 }
 
 ORACLES = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op5_sharding": sharding.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
