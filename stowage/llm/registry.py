@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from stowage.llm import line_dedup, mixing, packing, quality, sharding, toxicity
+from stowage.llm import line_dedup, mixing, near_dup, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op4_near_duplicates": near_dup.op4_near_duplicates,
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
