@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stowage.llm import line_dedup, mixing, near_dup, packing, quality, sharding, toxicity
+from stowage.llm import line_dedup, mixing, near_dup, packing, quality, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLES = {
