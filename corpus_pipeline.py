@@ -1,17 +1,80 @@
-"""The corpus pipeline: filter by quality, drop repeated lines, drop near duplicates, mix, pack."""
+"""The corpus pipeline: filter by quality, drop repeated lines, drop near duplicates, mix, pack.
+
+Each stage takes the documents that the stage before it kept and returns documents of
+the same columns; the last returns pieces of sequences. Stages are written between, so
+each can be run again by itself after a failure.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from stowage.llm import line_dedup, mixing, near_dup, packing, quality
+from stowage.session import materialize, ship
+
+
+def _like(docs: DataFrame, before: DataFrame) -> DataFrame:
+    """The columns of ``before``; the number of characters follows the text."""
+    if "n_chars" in before.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType))
+    return docs.select(*before.columns)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on labelled ones among them, does not reject."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs, model, "__quality")
+    return scored.filter(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each line only in the first that holds it."""
+    return _like(line_dedup.dedup_lines(docs), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group; documents without words or doc_id stay."""
+    rows, found = near_dup.link(docs)
+    dropped = rows.join(found, F.col("cid") == F.col("node"), "left").filter("doc_id <> coalesce(component, cid)").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    once = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    return once.union(kept.filter("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, repeated as often as it takes them."""
+    return _like(mixing.apply_mix(docs), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of token ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
 
-#: The quality model and the tokenizer are beyond SQL.
+#: The quality model and the tokenizer are beyond SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
+    ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, f"stage-{name}")
     return docs
