@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -113,6 +114,17 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now.
+
+    Its cleaner waits for the driver's collector, and what a job held last only goes
+    with the second collection after it.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
