@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,9 +36,23 @@ LENGTH = 2048
 CLOSING = 1
 HASHED, DIMS, BITS = 256, 3, 10
 #: Words whose ids a worker keeps, and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 400_000, 64
+KEPT_WORDS, KEPT_BYTES = 600_000, 64
 #: Documents whose vectors are made at once.
-AT_ONCE = 256
+AT_ONCE = 1024
+
+#: Bytes of a text of Latin letters, digits, full stops and commas, and what must not be in it besides.
+_PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789., \t\n\r\xc3" + bytes(range(0x80, 0xC0))
+_PAIRS = (b"..", b".,", b",.", b",,", b"\xc3\x97", b"\xc3\xb7")
+#: Marks that end a word of Latin letters.
+_TAIL = re.compile(rb"([a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])([.,;:!?|]+)(?=[\x20\x09-\x0d]|$)")
+
+
+def _parts(text: bytes) -> list[bytes]:
+    """The text cut at white space and before marks that end a word."""
+    if not text.translate(None, _PLAIN) and not any(pair in text for pair in _PAIRS):
+        # Only letters, digits and single marks: each mark stands alone.
+        return text.replace(b".", b" . ").replace(b",", b" , ").split()
+    return _TAIL.sub(rb"\1 \2", text).split()
 
 
 @functools.lru_cache(maxsize=2)
@@ -46,10 +61,11 @@ def _encoder(model: str) -> WordEncoder:
 
 
 class WordEncoder:
-    """Ids of a text by way of its words.
+    """Ids of texts by way of their words.
 
-    The tokenizer's own pattern never joins characters across white space, so a text's
-    ids are its words' ids in order; each word is encoded once and then kept.
+    The tokenizer's own pattern never joins characters across white space, nor a letter
+    with a mark after it, so a text's ids are the ids of such parts in order; each part
+    is encoded once and then kept, in two generations of bounded size.
     """
 
     def __init__(self, model: str) -> None:
@@ -57,22 +73,52 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
-        self.width = np.dtype("<u2" if self.model.get_vocab_size(True) <= 2**16 else "<u4")
+        vocabulary = self.model.get_vocab(True)
+        self.width = np.dtype("<u2" if len(vocabulary) <= 2**16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.kept: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        kept = self.kept
-        try:
-            return b"".join([kept[w] for w in words])
-        except KeyError:
-            new = list({w for w in words if w not in kept})
-        own = dict(zip(new, (np.array(e.ids, self.width).tobytes() for e in self.model.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)), strict=True))
-        out = b"".join([own.get(w) if w in own else kept[w] for w in words])
-        if len(kept) + len(own) > KEPT_WORDS:
-            kept.clear()
-        kept.update((w, x) for w, x in own.items() if len(w) <= KEPT_BYTES)
-        return out
+        self.old: dict[bytes, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.width).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words: words of letters many at once, told apart by the ids that end a word."""
+        found: dict[bytes, bytes] = {}
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        wide = [w for w in other if w.decode("utf-8", "replace").isalpha()]
+        alone = set(other).difference(wide)
+        plain += wide
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            ids = np.frombuffer(self._alone([b" ".join(some).decode("utf-8", "replace")])[0], self.width)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width.itemsize).tolist()
+            if len(ends) != len(some):
+                alone.update(some)
+                continue
+            joined = ids.tobytes()
+            found.update(zip(some, [joined[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        rest = list(alone)
+        found.update(zip(rest, self._alone([w.decode("utf-8", "replace") for w in rest]), strict=True))
+        return found
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        # A special token's string is special only as it stands: such texts are not lowered.
+        split = [_parts(t if b"<|" in t else t.lower()) for t in texts]
+        # The words of these texts get a table of their own, which the processor's caches hold.
+        words = list(set().union(*split))
+        here = dict(zip(words, map(self.kept.get, words), strict=True))
+        unknown = [w for w, ids in here.items() if ids is None]
+        again = {w: self.old[w] for w in unknown if w in self.old}
+        new = self._encode([w for w in unknown if w not in again])
+        here |= again | new
+        self.kept |= again
+        self.kept.update((w, ids) for w, ids in new.items() if len(w) <= KEPT_BYTES)
+        if len(self.kept) > KEPT_WORDS:
+            self.old, self.kept = self.kept, {}
+        return [b"".join(map(here.__getitem__, parts)) for parts in split]
 
 
 def directions() -> np.ndarray:
@@ -126,7 +172,7 @@ def tokenize(docs: DataFrame, model: str) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
                 batch = whole.slice(at, AT_ONCE)
-                ids = [encoder.ids(t or b"") + closing for t in batch.column(1).cast(pa.binary()).to_pylist()]
+                ids = [x + closing for x in encoder.ids([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])]
                 lengths = np.array([len(x) // encoder.width.itemsize for x in ids], np.int64)
                 keys = curve_keys(np.frombuffer(b"".join(ids), encoder.width), lengths)
                 yield pa.record_batch({"doc_id": batch.column(0), "n": lengths, "key": keys, "ids": pa.array(ids, pa.binary())})
