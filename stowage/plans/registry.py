@@ -229,6 +229,37 @@ def exit_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("code", errors.exit_class(F.col("code")).alias("exit")).agg(F.count("*").alias("n"))
 
 
+@query(f"{MEMBERS} SELECT pos, path, type::INTEGER AS type FROM members WHERE pos = 42")
+def member_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.members(spark, sf_dir, places=False).filter("pos = 42").select("pos", "path", "type")
+
+
+@query("""
+SELECT event_id, CASE WHEN a + b < 18446744073709551616::HUGEINT THEN a + b END::VARCHAR AS total
+FROM (SELECT event_id, (event_id % 1000)::HUGEINT * 18446744073709551 AS a, (user_id % 1000)::HUGEINT * 18446744073709551 AS b FROM events)
+""")
+def checked_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    big = lambda c: (F.col(c) % 1000).cast("decimal(20,0)") * F.lit(18446744073709551).cast("decimal(18,0)")
+    total = binary.checked_sum(binary.big(big("event_id")), binary.big(big("user_id")))
+    return table(spark, sf_dir, "events").select("event_id", total.cast("string").alias("total"))
+
+
+@query(f"""
+{MEMBERS} SELECT pos, type <> 1 OR size_original = 0 AS bare, coalesce(list_sum(chunk_sizes), 0)::BIGINT = size_compressed AS sums_up,
+  data_offset + size_compressed AS "end" FROM members
+""")
+def member_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifest.members(spark, sf_dir)
+    total = F.aggregate("chunk_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    end = binary.checked_sum(F.col("data_offset"), F.col("size_compressed")).cast("long")
+    return rows.select("pos", rules.without_data().alias("bare"), (total == F.col("size_compressed")).alias("sums_up"), end.alias("end"))
+
+
+@query(f"{MEMBERS} SELECT pos, path FROM members ORDER BY path, pos")
+def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.members(spark, sf_dir, places=False).select("pos", "path").orderBy("path", "pos")
+
+
 # Paths.
 
 _PATH_SQL = """CASE WHEN strlen({p}) = 0 THEN 'FMT_INDEX' WHEN strlen({p}) > 1023 THEN 'PATH_TOO_LONG' WHEN {p} LIKE '/%' THEN 'PATH_ABSOLUTE' WHEN {p} LIKE '%/' THEN 'FMT_INDEX'
