@@ -4,9 +4,9 @@ Every byte goes that is covered by a 50-byte string which also starts in a docum
 with a smaller doc_id. The result is exact.
 
 1. Winnowing picks anchors: of the 16-byte strings within any 50 bytes, those with the
-   smallest hash. So two equal 50-byte strings hold the same anchor at the same place.
-   An anchor's context is the 34 bytes on either side of it, 84 bytes, which holds
-   every 50-byte string around the anchor. Tasks fold what shares anchor and context.
+   smallest hash. So two equal 50-byte strings pick the same anchor at the same place.
+   An anchor's context is all that the 50-byte strings which picked it cover, 84 bytes
+   at most. Tasks fold what shares anchor and context.
 2. Anchors meet by their hash. Where the whole context is found in a document with a
    smaller doc_id, all of its bytes go. The first document of a context goes on only if
    the anchor has other contexts that agree with it on one side.
@@ -15,7 +15,7 @@ with a smaller doc_id. The result is exact.
    an interval of 50 bytes or more whose occurrences differ in the byte before is a
    maximal repeat, given with all its occurrences. In each, what does not belong to the
    smallest doc_id goes, for each place by the longest such repeat.
-4. Anchors with more than 2,000 such contexts, as at the edge of a passage that half of
+4. Anchors with more than 20,000 such contexts, as at the edge of a passage that half of
    the documents hold, would overload a task. Their 50-byte strings are summed by hash
    over all tasks instead, which gives the same result.
 
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql import Window
 
-from stowage.session import discard, materialize
+from stowage.session import discard, materialize, release
 
 LEAST = 50
 GRAM = 16
@@ -45,9 +45,11 @@ CONTEXT = GRAM + 2 * SIDE
 HALF = SIDE // 2
 NO_ID = 2**63 - 1
 #: Anchors that a task folds at once, contexts in one suffix array, and contexts of one anchor for that.
-FOLD, AT_ONCE, CROWD = 500_000, 6_000, 2_000
+FOLD, AT_ONCE, CROWD = 500_000, 6_000, 20_000
 #: Context hash of rows whose fate is known already.
 GONE = -(2**63)
+#: A row's x: where its context starts, how many strings it has besides the first, and hashes of the two halves.
+START_BITS, MORE_BITS, HALF_BITS = 32, 6, 13
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -81,6 +83,31 @@ class Rolling:
         return total
 
 
+class Powers:
+    """Powers of the base of the hashes, and of its inverse."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            step = np.full(2 * n, _BASE, np.uint64), np.full(2 * n, pow(_BASE, -1, 2**64), np.uint64)
+            for powers in step:
+                powers[0] = 1
+            self.up, self.down = (np.multiply.accumulate(powers) for powers in step)
+
+
+_POWERS = Powers()
+
+
+def _spans(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of substrings of any lengths, by the place of the bytes within them."""
+    _POWERS.reach(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + _U(1)) * _POWERS.down[: len(text)], out=sums[1:])
+    return (sums[end] - sums[begin]) * _POWERS.up[begin]
+
+
 def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     n = 1
     while 2 * n <= width:
@@ -89,35 +116,33 @@ def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(values[: len(values) - (width - n)], values[width - n :]) if n < width else values
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, and hashes of anchor, whole context, and the contexts' left and right halves.
-
-    At the ends of the text a context is cut off; its hash then depends on where.
-    """
-    rolling = Rolling(np.frombuffer(text, np.uint8))
+def anchors(text: bytes) -> tuple[np.ndarray, ...]:
+    """Anchors' hashes, starts of their contexts, strings besides the first, and hashes of context, left and right half."""
+    data = np.frombuffer(text, np.uint8)
+    rolling = Rolling(data)
     grams = _mix(rolling.of(GRAM))
     width = LEAST - GRAM + 1
     if len(grams) < width:
         none = np.zeros(0, np.uint64)
-        return none.astype(np.int64), none, none, none, none
+        return none, none.astype(np.int64), none.astype(np.int64), none, none, none
     least = _slide(grams, width, np.minimum)
     edge = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
-    whole = rolling.of(CONTEXT)
-    inside = (at >= SIDE) & (at + GRAM + SIDE <= len(text))
-    context = np.zeros(len(at), np.uint64)
-    context[inside] = _mix(whole[at[inside] - SIDE])
-    for i in np.flatnonzero(~inside):
-        p = int(at[i])
-        cut = text[max(0, p - SIDE) : p + GRAM + SIDE]
-        context[i] = xxhash.xxh3_64_intdigest(cut, seed=1 + min(p, SIDE))
+    # The strings that picked an anchor are a run of starts, up to the anchor's own place.
+    starts = at[:, None] - np.arange(width - 1, -1, -1)
+    mine = (starts >= 0) & (starts < len(least))
+    mine &= least[np.clip(starts, 0, len(least) - 1)] == grams[at][:, None]
+    first = at - (width - 1) + mine.argmax(axis=1)
+    last = at - mine[:, ::-1].argmax(axis=1)
+    context = _spans(data, first, last + LEAST)
+    context = _mix(context ^ ((last - first) << 8 | (at - first)).astype(np.uint64) * _U(0xA0761D6478BD642F))
     halves = rolling.of(GRAM + HALF)
     left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     full = at >= HALF
     left[full] = _mix(halves[at[full] - HALF])
     full = at < len(halves)
     right[full] = _mix(halves[at[full]])
-    return at, grams[at], context, left, right
+    return grams[at], first, last - first, context, left, right
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -134,7 +159,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of ``doc, part, text``: place and 16 bits of either half are packed in x."""
+    """Anchors of ``doc, part, text``, each with its context packed in x."""
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
@@ -153,10 +178,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
             if len(text) < LEAST:
                 continue
-            at, a, c, left, right = anchors(text)
-            x = (left >> _U(48)) << _U(48) | (right >> _U(48)) << _U(32) | at.astype(np.uint64)
-            held.append((a.view(np.int64), np.maximum(c.view(np.int64), GONE + 1), np.full(len(at), doc, np.int64), np.full(len(at), part, np.int64), x))
-            count += len(at)
+            a, first, more, c, left, right = anchors(text)
+            x = ((left >> _U(64 - HALF_BITS)) << _U(HALF_BITS) | right >> _U(64 - HALF_BITS)) << _U(START_BITS + MORE_BITS)
+            x |= more.astype(np.uint64) << _U(START_BITS) | first.astype(np.uint64)
+            held.append((a.view(np.int64), np.maximum(c.view(np.int64), GONE + 1), np.full(len(a), doc, np.int64), np.full(len(a), part, np.int64), x))
+            count += len(a)
             if count >= FOLD:
                 yield flush()
                 held, count = [], 0
@@ -184,7 +210,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = np.cumsum(new_a)
         more = np.bincount(owner[new & ~new_a], minlength=owner[-1] + 1) > 0
         more[0] = more[0] or several
-        table = pa.record_batch({"a": a, "c": c, "doc": doc, "part": part, "x": x})
+        # Of what is gone only the place counts from here on.
+        kept = np.where(gone, 0, a), np.where(gone, 0, c), doc, part, np.where(gone, x & ((1 << START_BITS + MORE_BITS) - 1), x)
+        table = pa.RecordBatch.from_arrays([pa.array(column) for column in kept], names=["a", "c", "doc", "part", "x"])
         if waiting and (more[0] or not (owner == 0).any() or owner[-1] > 0):
             if more[0]:
                 yield from waiting
@@ -207,57 +235,42 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for doc, part, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
             for w in wanted:
-                start = max(0, w["at"] - SIDE)
-                out.append((w["a"], w["crowd"], doc, part, start, text[start : w["at"] + GRAM + SIDE]))
+                out.append((w["a"], w["crowd"], doc, part, w["begin"], text[w["begin"] : w["end"]]))
         if out:
             names = ["a", "crowd", "doc", "part", "start", "context"]
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].reshape(keys.shape).astype(np.uint64)
-
-
 class SuffixArray:
-    """The suffixes of short texts that have at least LEAST bytes, in order, with their common prefixes.
+    """Suffixes of short texts in order, with their common prefixes: those whose first LEAST bytes recur.
 
-    Places are ranked by 8 bytes, then by twice as many again and again; texts end in
-    zeros, and of suffixes that agree the one that ends first stands first.
+    Texts end in zeros; of suffixes that agree, the one that ends first stands first.
     """
 
-    COLUMNS = SIDE + 1
-    STRIDE = COLUMNS + 96 + 5
-
     def __init__(self, texts: list[bytes]) -> None:
-        n = len(texts)
-        self.lengths = np.fromiter(map(len, texts), np.int64, n)
-        flat = np.frombuffer(b"".join(t.ljust(self.STRIDE, b"\0") for t in texts), np.uint8).reshape(n, self.STRIDE)
-        words = np.lib.stride_tricks.sliding_window_view(flat, 8, axis=1)
-        by8 = _ranks(np.ascontiguousarray(words).view(">u8")[..., 0].astype(np.uint64))
-
-        def joined(left: np.ndarray, right: np.ndarray, apart: int) -> np.ndarray:
-            size = min(left.shape[1], right.shape[1] - apart)
-            return _ranks(left[:, :size] << _U(32) | right[:, apart : apart + size])
-
-        by32 = joined(by16 := joined(by8, by8, 8), by16, 16)
-        by96 = joined(joined(by32, by32, 32)[:, : self.COLUMNS], by32, 64)
-        row, column = np.nonzero(self.lengths[:, None] - np.arange(self.COLUMNS) >= LEAST)
-        left = self.lengths[row] - column
-        order = np.lexsort((left, by96[row, column]))
-        self.row, self.column, left = row[order], column[order], left[order]
-        near = by32[self.row, self.column]
-        far = by32[self.row, self.column + LEAST - 32]
-        same = np.flatnonzero((near[1:] == near[:-1]) & (far[1:] == far[:-1]))
+        n, columns = len(texts), np.arange(SIDE + 1)
+        lengths = np.fromiter(map(len, texts), np.int64, n)
+        stride = CONTEXT + SIDE
+        flat = np.frombuffer(b"".join(t.ljust(stride, b"\0") for t in texts), np.uint8)
+        row, column = np.nonzero(lengths[:, None] - columns >= LEAST)
+        hashes = Rolling(flat).of(LEAST)[row * stride + column]
+        _, which, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(count[which] > 1)
+        left = lengths[row[again]] - column[again]
+        again = again[np.argsort(left, kind="stable")]
+        at = (row[again] * stride + column[again])[:, None] + np.arange(CONTEXT)
+        keys = flat[at]
+        order = keys.view(f"S{CONTEXT}").ravel().argsort(kind="stable")
+        self.row, self.column, keys = row[again][order], column[again][order], keys[order]
+        left = lengths[self.row] - self.column
         #: common[i]: bytes that suffix i shares with the one before it, 0 if under LEAST.
         self.common = np.zeros(len(order) + 1, np.int64)
-        at = np.arange(CONTEXT)
-        for some in np.array_split(same, max(1, len(same) // 50_000)):
-            a = flat[self.row[some][:, None], self.column[some][:, None] + at]
-            b = flat[self.row[some + 1][:, None], self.column[some + 1][:, None] + at]
-            differ = np.concatenate([a != b, np.ones((len(some), 1), bool)], axis=1).argmax(axis=1)
-            self.common[some + 1] = np.minimum(differ, np.minimum(left[some], left[some + 1]))
-        self.before = np.where(self.column > 0, flat[self.row, self.column - 1].astype(np.int64), -1 - np.arange(len(order)))
+        differ = np.concatenate([keys[1:] != keys[:-1], np.ones((max(0, len(order) - 1), 1), bool)], axis=1).argmax(axis=1)
+        same = np.minimum(differ, np.minimum(left[1:], left[:-1]))
+        self.common[1:-1] = np.where(same >= LEAST, same, 0)
+        place = self.row * stride + self.column
+        self.before = np.where(self.column > 0, flat[place - 1].astype(np.int64), -1 - np.arange(len(order)))
 
     def maximal_repeats(self) -> Iterator[tuple[int, int, int]]:
         """Length and first and last suffix of every repeat that can't be extended, the longer ones of a place first."""
@@ -343,27 +356,25 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["h1", "h2", "doc", "part", "begin"])
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now: its cleaner waits for the driver's collector."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def spans(rows: DataFrame) -> DataFrame:
     """``doc, part, spans`` (arrays of begin and end) of rows ``doc, part, text``; spans may overlap or pass the ends."""
     spark = rows.sparkSession
     found = rows.mapInArrow(_find, _ROW).repartition("a").sortWithinPartitions("a", "c", "doc")
     met = materialize(found.mapInArrow(_meet, _ROW + ", gone boolean"), "met")
-    _release(spark)
-    at = F.col("x").bitwiseAND(F.lit(0xFFFFFFFF))
-    whole = met.filter("gone").select("doc", "part", (at - SIDE).alias("begin"), (at + GRAM + SIDE).alias("end"))
-    first = met.filter("NOT gone").select("a", "doc", "part", at.alias("at"), F.shiftrightunsigned("x", 48).alias("left"), F.shiftrightunsigned("x", 32).bitwiseAND(F.lit(0xFFFF)).alias("right"))
+    release(spark)
+    begin = F.col("x").bitwiseAND(F.lit((1 << START_BITS) - 1))
+    end = begin + F.shiftrightunsigned("x", START_BITS).bitwiseAND(F.lit((1 << MORE_BITS) - 1)) + LEAST
+    right = F.shiftrightunsigned("x", START_BITS + MORE_BITS).bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+    left = F.shiftrightunsigned("x", START_BITS + MORE_BITS + HALF_BITS)
+    whole = met.filter("gone").select("doc", "part", begin.alias("begin"), end.alias("end"))
+    first = met.filter("NOT gone").select("a", "doc", "part", begin.alias("begin"), end.alias("end"), left.alias("left"), right.alias("right"))
     agree = (F.count("*").over(Window.partitionBy("a", "left")) > 1) | (F.count("*").over(Window.partitionBy("a", "right")) > 1)
     first = first.withColumn("agree", agree).filter("agree")
     first = first.withColumn("crowd", F.count("*").over(Window.partitionBy("a")) > CROWD)
-    wanted = first.groupBy("doc", "part").agg(F.collect_list(F.struct("a", "at", "crowd")).alias("wanted"))
+    wanted = first.groupBy("doc", "part").agg(F.collect_list(F.struct("a", "begin", "end", "crowd")).alias("wanted"))
     contexts = rows.join(wanted, ["doc", "part"]).select("doc", "part", "text", "wanted")
     contexts = materialize(contexts.mapInArrow(_cut, "a long, crowd boolean, doc long, part long, start long, context binary"), "contexts")
-    _release(spark)
+    release(spark)
     edges = contexts.filter("NOT crowd").repartition("a").sortWithinPartitions("a", "doc").mapInArrow(_search, "doc long, part long, begin long, end long")
     strings = contexts.filter("crowd").mapInArrow(_strings, "h1 long, h2 long, doc long, part long, begin long")
     owners = strings.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("other")).filter("owner < other").drop("other")
@@ -372,7 +383,7 @@ def spans(rows: DataFrame) -> DataFrame:
     out = materialize(every.groupBy("doc", "part").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "spans")
     discard(spark, met)
     discard(spark, contexts)
-    _release(spark)
+    release(spark)
     return out
 
 
