@@ -147,7 +147,7 @@ def _best_cross(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     """A model of ``y`` (0 or 1) by the rows of ``x``."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         share = min(max(share, 1e-3), 1 - 1e-3)
         return Additive(float(np.log(share / (1 - share))))
     model = Additive(float(np.log(share / (1 - share))))
