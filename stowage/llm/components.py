@@ -8,7 +8,7 @@ collected, and each round's links are a written table, so lineage stays short.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from stowage.session import discard, materialize
 
@@ -35,11 +35,11 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = None
     for _ in range(ROUNDS):
-        last = now
-        now = materialize(_stars(_stars(now, True), False), "links")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        last, seen = now, Observation()
+        mark = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+        now = materialize(_stars(_stars(now, True), False).observe(seen, *mark), "links")
         discard(spark, last)
-        if tuple(mark) == before:
+        if seen.get == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = tuple(mark)
+        before = seen.get
     raise RuntimeError(f"the components did not settle in {ROUNDS} rounds")

@@ -3,21 +3,25 @@
 A document is the set of its five-word shingles, as 64-bit hashes. Two documents link
 when their sets' Jaccard similarity is at least 0.75; the result is exact.
 
-1. Shingles are ordered by how common a counting table of fixed size shows them to be,
-   the rare ones first, then by hash. Sets that are similar enough share a shingle of
+1. Shingles are ordered by how full their cell of a counting table of fixed size is, the
+   emptiest first, then by hash. Sets that are similar enough share a shingle of
    their prefixes, the first quarter in this order. Any order is right; this one keeps
    shingles that many documents share out of the prefixes.
 2. Documents with equal sets fold into a class, and classes of equal size with equal
    prefixes into a group. Only one prefix of each group is posted, and only shingles
    posted by two groups or more go on.
-3. Pairs that are likely to link are verified first: neighbours by minimum hash, then
-   neighbours in the posting lists that are not connected yet. They give components.
-4. Then every pair of groups that shares a prefix shingle and is not connected yet is
-   filtered by size and by the number of shared prefix shingles, which bounds the
-   overlap; what is left is expanded into classes and verified. So no link between
-   different components is missed, and no pair within one is looked at.
-
-Nothing grows but tables: the counting table has 2**21 cells at any size, posting lists
+3. Pairs that are likely to link are verified first: neighbours by one of four minimum
+   hashes that agree in another, then, among the same documents, neighbours in posting
+   lists in random order that are not connected yet. They give components.
+4. Then come all pairs of groups that share a prefix shingle and are not connected yet.
+   Posting lists name, for each group, the larger components it meets there. A component
+   of one group makes a pair, which the number of shared shingles, a bound of the
+   overlap, must allow. A component of several is taken member by member, or through the
+   posting lists again if these hold fewer. All are filtered by size and by bitmaps of
+   the sets, which show shingles that the other lacks, expanded into classes and verified. So no link between different components is missed, and no pair
+   within one is looked at.
+
+Nothing grows but tables: the counting table has 2**22 cells at any size, posting lists
 are joined by Spark (which splits hot ones), and sets are compared pair by pair.
 
 Cases: a text without words is an empty set and links with nothing; fewer than five
@@ -36,15 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.llm.components import components
-from stowage.session import discard, materialize
+from stowage.session import discard, materialize, release
 
 WORDS = 5
 #: Cells of the counting table, and the pieces in which tasks hand it on.
-CELLS, PIECES = 2**21, 64
+CELLS, PIECES = 2**22, 64
+#: Bits of the bitmap of a set, in 64-bit words.
+BIT_WORDS = 8
 #: Words whose hashes a task keeps.
 KEPT_WORDS = 400_000
-#: Rounds of neighbours in posting lists before all pairs are taken.
-NEIGHBOUR_ROUNDS = 2
+#: Rounds of neighbours in posting lists, each with its share of the shingles, before all pairs are taken.
+NEIGHBOUR_ROUNDS = 4
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -88,12 +94,19 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, cells, seen = WordHashes(), np.zeros(CELLS, np.int64), False
+    words, cells, seen = WordHashes(), np.zeros(CELLS, np.uint32), False
+    held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         for text in _texts(batch):
-            np.add.at(cells, _cell(shingles(text, words)), 1)
+            held.append(shingles(text, words))
+            size += len(held[-1])
             seen = True
+            if size > CELLS:
+                cells += np.bincount(_cell(np.concatenate(held)), minlength=CELLS).astype(np.uint32)
+                held, size = [], 0
     if seen:
+        cells += np.bincount(_cell(np.concatenate([*held, np.zeros(0, np.uint64)])), minlength=CELLS).astype(np.uint32)
         parts = np.minimum(cells, 2**16 - 1).astype("<u2").reshape(PIECES, -1)
         yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
 
@@ -107,24 +120,33 @@ def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def commonness(docs: DataFrame) -> np.ndarray:
-    """For each cell of shingle hashes 0 if it is no fuller than most, else how many times it doubles that.
+    """For each cell of shingle hashes how full it is, in quarters of the spread that chance alone would give.
 
-    The table has CELLS bytes, whatever the size of the input.
+    The table has two bytes for each of CELLS, whatever the size of the input.
     """
     parts = docs.select("text").mapInArrow(_count, "piece int, counts binary")
     rows = parts.groupBy("piece").applyInArrow(_add, "piece int, counts binary").collect()
-    cells = np.zeros((PIECES, CELLS // PIECES), np.float64)
+    cells = np.zeros((PIECES, CELLS // PIECES), np.uint32)
     for row in rows:
         cells[row.piece] = np.frombuffer(row.counts, "<u4")
-    cells = cells.ravel()
-    return np.maximum(0, np.floor(np.log2(np.maximum(cells, 1) / (2 * cells.mean() + 2)))).astype(np.int8)
+    step = np.uint32(max(1, int(np.sqrt(cells.mean()) / 4)))
+    return np.minimum(cells.ravel() // step, 2**16 - 1).astype(np.uint16)
+
+
+def bitmap(s: np.ndarray) -> list[int]:
+    """Which of 64 * BIT_WORDS parts of the hashes a set has shingles in."""
+    there = np.zeros(64 * BIT_WORDS, bool)
+    there[(s >> _U(64 - 9)).astype(np.int64)] = True
+    return np.packbits(there, bitorder="little").view(np.int64).tolist()
 
 
 def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1 if n else 0
 
 
-_MADE = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, m1 long, m2 long, prefix binary"
+_MADE = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, low array<long>, bits array<long>, prefix binary"
+# Odd multipliers that make the minimum hashes.
+_SEEDS = tuple(_U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
 
 
 def _longs(digest: bytes) -> tuple[int, int]:
@@ -132,7 +154,7 @@ def _longs(digest: bytes) -> tuple[int, int]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """For each document the size of its set, digests of set and prefix, two minimum hashes, and the prefix."""
+    """For each document the size of its set, digests of set and prefix, the minimum hashes, and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(commonness(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,18 +165,16 @@ def describe(docs: DataFrame) -> DataFrame:
                 s = np.unique(shingles(text, words))
                 n = len(s)
                 if not n:
-                    rows.append((0, 0, 0, 0, 0, 0, 0, b""))
+                    rows.append((0, 0, 0, 0, 0, [0] * len(_SEEDS), [0] * BIT_WORDS, b""))
                     continue
-                size = prefix_length(n)
-                rank = common[_cell(s)]
-                plain = s[rank == 0]
-                prefix = plain[:size] if len(plain) >= size else s[np.argsort(rank, kind="stable")[:size]]
-                low = int(_finish(s * _U(0xD6E8FEB86659FD93)).min()), int(_finish(s * _U(0xA0761D6478BD642F)).min())
-                rows.append((n, *_longs(xxhash.xxh3_128_digest(s.tobytes())), *_longs(xxhash.xxh3_128_digest(prefix.tobytes())), *(v - 2**64 if v >= 2**63 else v for v in low), prefix.tobytes()))
+                # Stable, so shingles whose cells are alike stand in the order of their hashes.
+                prefix = s[np.argsort(common[_cell(s)], kind="stable")[: prefix_length(n)]].tobytes()
+                low = np.array([_finish(s * seed).min() for seed in _SEEDS]).view(np.int64).tolist()
+                rows.append((n, *_longs(xxhash.xxh3_128_digest(s.tobytes())), *_longs(xxhash.xxh3_128_digest(prefix)), low, bitmap(s), prefix))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "p1", "p2", "m1", "m2", "prefix"],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:5]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[5:7]), pa.array(columns[7], pa.binary())],
+                names=["doc_id", "n", "s1", "s2", "p1", "p2", "low", "bits", "prefix"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _MADE)
@@ -172,44 +192,47 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``key, n, id, label`` in order: each with the one before it and with the first of its key here."""
-    last: tuple[int, int, int, int] | None = None
-    hub: tuple[int, int] = (0, 0)
+    """Of rows ``key, rank, id, label, sign`` in order: each with the one before it and with the first of its key here.
+
+    Both must have different labels and agree in two of the four 16-bit lanes of their signs.
+    """
+    last: tuple[int, ...] | None = None
+    hub: tuple[int, ...] = (0, 0, 0)
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        differ = (a ^ b).view(np.uint64)
+        return sum(((differ >> _U(shift)) & _U(0xFFFF) == 0).astype(np.int8) for shift in (0, 16, 32, 48)) >= 2
+
     for batch in batches:
-        key, _, node, label = (batch.column(i).to_numpy() for i in range(4))
+        key, node, label, sign = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
         if not len(key):
             continue
         if last is None or last[0] != key[0]:
-            hub = (int(node[0]), int(label[0]))
+            hub = (int(node[0]), int(label[0]), int(sign[0]))
         if last is not None:
-            key, node, label = np.r_[last[0], key], np.r_[last[2], node], np.r_[last[3], label]
+            key, node, label, sign = (np.r_[x, column] for x, column in zip(last, (key, node, label, sign), strict=True))
         same = key[1:] == key[:-1]
-        starts = np.r_[True, ~same]
-        first = np.maximum.accumulate(np.where(starts, np.arange(len(key)), 0))
-        hubs, hub_labels = node[first], label[first]
-        if last is not None:
-            mine = first == 0
-            if last[0] == key[1]:
-                hubs, hub_labels = np.where(mine, hub[0], hubs), np.where(mine, hub[1], hub_labels)
-        out: set[tuple[int, int]] = set()
-        near = np.flatnonzero(same & (label[1:] != label[:-1]))
-        out.update(zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
-        far = np.flatnonzero(hub_labels != label)
-        out.update(zip(hubs[far].tolist(), node[far].tolist(), strict=True))
-        hub = (int(hubs[-1]), int(hub_labels[-1]))
-        last = (int(key[-1]), 0, int(node[-1]), int(label[-1]))
+        first = np.maximum.accumulate(np.where(np.r_[True, ~same], np.arange(len(key)), 0))
+        hubs = [column[first] for column in (node, label, sign)]
+        if last is not None and same[0]:
+            hubs = [np.where(first == 0, x, column) for x, column in zip(hub, hubs, strict=True)]
+        near = np.flatnonzero(same & (label[1:] != label[:-1]) & alike(sign[1:], sign[:-1]))
+        far = np.flatnonzero((hubs[1] != label) & alike(hubs[2], sign))
+        out = {*zip(node[near].tolist(), node[near + 1].tolist(), strict=True), *zip(hubs[0][far].tolist(), node[far].tolist(), strict=True)}
+        hub = tuple(int(column[-1]) for column in hubs)
+        last = (int(key[-1]), int(node[-1]), int(label[-1]), int(sign[-1]))
         pairs = [(min(p), max(p)) for p in out if p[0] != p[1]]
         if pairs:
             yield pa.record_batch({"x": pa.array([p[0] for p in pairs], pa.int64()), "y": pa.array([p[1] for p in pairs], pa.int64())})
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """Likely pairs ``x, y, c`` of rows ``key, n, id, label``: next to each other under one key; c counts how often.
+    """Likely pairs ``x, y`` of rows ``key, rank, id, label, sign``: next to each other under one key.
 
     Rows are range-sorted, so a hot key spreads over tasks; pairs across a bound are not needed here.
     """
-    order = ["key", "n", "id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "x long, y long").groupBy("x", "y").agg(F.count("*").alias("c"))
+    order = ["key", "rank", "id"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "x long, y long").distinct()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,24 +252,18 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"x": batch.column(0).filter(mask), "y": batch.column(1).filter(mask)})
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``x, y`` of documents that link."""
-    spark = docs.sparkSession
-    pairs = materialize(pairs.select("x", "y").distinct(), "pairs")
+def sets_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, members`` of the documents in pairs ``x, y``."""
     ids = pairs.select(F.col("x").alias("__id")).union(pairs.select("y")).distinct()
     mine = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    sets = materialize(mine.mapInArrow(_sets, "id long, members binary"), "sets", "uncompressed")
-    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("members").alias("a")), "x")
-    both = both.join(sets.select(F.col("id").alias("y"), F.col("members").alias("b")), "y").select("x", "y", "a", "b")
-    out = materialize(both.mapInArrow(_linked, "x long, y long").distinct(), "verified")
-    discard(spark, sets)
-    discard(spark, pairs)
-    return out
+    return materialize(mine.mapInArrow(_sets, "id long, members binary"), "sets", "uncompressed")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now: its cleaner waits for the driver's collector."""
-    spark.sparkContext._jvm.System.gc()
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``x, y`` that link."""
+    both = pairs.join(sets.select(F.col("id").alias("x"), F.col("members").alias("a")), "x")
+    both = both.join(sets.select(F.col("id").alias("y"), F.col("members").alias("b")), "y").select("x", "y", "a", "b")
+    return materialize(both.mapInArrow(_linked, "x long, y long").distinct(), "verified")
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,33 +271,39 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     made = materialize(describe(docs), "described", "uncompressed")
     full = made.filter("n > 0 AND doc_id IS NOT NULL")
-    least = F.min(F.struct("doc_id", "n", "p1", "p2", "m1", "m2", "prefix")).alias("first")
+    least = F.min(F.struct("doc_id", "n", "p1", "p2", "low", "bits", "prefix")).alias("first")
     classes = full.groupBy("s1", "s2").agg(least).select(
-        "s1", "s2", F.col("first.doc_id").alias("cid"), "first.n", "first.p1", "first.p2", "first.m1", "first.m2", "first.prefix"
+        "s1", "s2", F.col("first.doc_id").alias("cid"), "first.n", "first.p1", "first.p2", "first.low", "first.bits", "first.prefix"
     )
     classes = materialize(classes, "classes", "uncompressed")
     narrow = made.select("doc_id", "n", "s1", "s2")
     members = classes.select("s1", "s2", "cid")
-    rows = materialize(narrow.join(members, ["s1", "s2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")), "rows")
+    rows = materialize(narrow.join(members, ["s1", "s2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("cid")).alias("cid")), "rows")
     discard(spark, made)
-    _release(spark)
+    release(spark)
 
     grouped = classes.withColumn("gid", F.min("cid").over(Window.partitionBy("n", "p1", "p2")))
-    groups = materialize(grouped.select("cid", "gid", "n", "m1", "m2", F.when(F.col("cid") == F.col("gid"), F.col("prefix")).alias("prefix")), "groups", "uncompressed")
+    lanes = [F.shiftleft(F.col("low")[i].bitwiseAND(F.lit(0xFFFF)), 16 * i) for i in range(len(_SEEDS))]
+    grouped = grouped.withColumn("sign", lanes[0].bitwiseOR(lanes[1]).bitwiseOR(lanes[2]).bitwiseOR(lanes[3]))
+    groups = materialize(grouped.select("cid", "gid", "n", "low", "bits", "sign", F.when(F.col("cid") == F.col("gid"), F.col("prefix")).alias("prefix")), "groups", "uncompressed")
     discard(spark, classes)
     posted = groups.filter("prefix IS NOT NULL").select("gid", "n", "prefix").mapInArrow(_post, "token long, gid long, n long")
     lists = posted.withColumn("m", F.count("*").over(Window.partitionBy("token"))).filter("m > 1").drop("m")
     lists = materialize(lists, "lists")
-    _release(spark)
+    release(spark)
 
     # Likely pairs: neighbours by minimum hash, neighbours within a group, several texts of one doc_id.
-    keyed = groups.select("cid", "n", "gid", F.explode(F.array("m1", "m2")).alias("key"))
-    likely = neighbours(keyed.select("key", "n", F.col("cid").alias("id"), F.col("cid").alias("label"))).select("x", "y")
+    keyed = groups.select(F.explode("low").alias("key"), F.col("n").alias("rank"), F.col("cid").alias("id"), F.col("cid").alias("label"), "sign")
     inside = groups.filter("cid <> gid").select(F.col("gid").alias("x"), F.col("cid").alias("y"))
+    likely = materialize(neighbours(keyed).union(inside).distinct(), "pairs")
+    sets = sets_of(likely, docs)
     first = rows.filter("cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("x"))
     same = rows.join(first, "doc_id").filter("x < cid").select("x", F.col("cid").alias("y")).distinct()
-    found = components(verify(likely.union(inside), docs).union(same))
-    _release(spark)
+    found = components(verify(likely, sets).union(same))
+    suspects = groups.filter("cid = gid").join(sets.select("id"), F.col("gid") == F.col("id"), "left_semi").select("gid", "sign")
+    shared = materialize(lists.join(suspects, "gid"), "suspects")
+    discard(spark, likely)
+    release(spark)
 
     def labelled(found: DataFrame) -> DataFrame:
         named = groups.select("cid", "gid", "n").join(found, F.col("cid") == F.col("node"), "left")
@@ -294,25 +317,46 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def merged(found: DataFrame, links: DataFrame) -> DataFrame:
         return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(links))
 
-    for _ in range(NEIGHBOUR_ROUNDS):
-        tagged = lists.join(by_group(labelled(found)), "gid").select(F.col("token").alias("key"), "n", F.col("gid").alias("id"), "label")
-        size = groups.filter("cid = gid").select(F.col("gid"), F.col("n"))
-        near = neighbours(tagged).join(size.withColumnsRenamed({"gid": "x", "n": "nx"}), "x").join(size.withColumnsRenamed({"gid": "y", "n": "ny"}), "y")
-        near = near.filter("4 * least(nx, ny) >= 3 * greatest(nx, ny) AND 20 * c >= least(nx, ny)")
-        found = merged(found, verify(near, docs))
-        _release(spark)
+    for turn in range(NEIGHBOUR_ROUNDS):
+        tagged = shared.filter(F.pmod("token", F.lit(NEIGHBOUR_ROUNDS)) == turn).join(by_group(labelled(found)), "gid")
+        near = neighbours(tagged.select(F.col("token").alias("key"), F.xxhash64("gid", "token").alias("rank"), F.col("gid").alias("id"), "label", "sign"))
+        found = merged(found, verify(near, sets))
+        release(spark)
+    discard(spark, sets)
+    discard(spark, shared)
 
     named = materialize(labelled(found), "labels")
-    tagged = lists.join(by_group(named), "gid")
-    mixed = tagged.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    tagged = tagged.join(mixed, "token", "left_semi").select("token", "gid", "n", "label")
-    a = tagged.select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    b = tagged.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"))
-    crossed = a.join(b, "token").filter("lx < ly AND 4 * least(nx, ny) >= 3 * greatest(nx, ny)")
-    counted = crossed.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c"))
+    sized = by_group(named)
+    sized = sized.join(sized.groupBy("label").agg(F.count("*").alias("z")), "label").join(groups.filter("cid = gid").select("gid", "n"), "gid")
+    sized = materialize(sized.select("gid", "n", "label", "z"), "sized")
+    posted = lists.select("token", "gid").join(sized, "gid")
+    held = posted.groupBy("token", F.col("label").alias("other")).agg(F.first("z").alias("oz"), F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    meets = posted.join(held, "token").filter("(z < oz OR (z = oz AND label < other)) AND 4 * n >= 3 * low AND 4 * high >= 3 * n")
+    meets = materialize(meets.select("token", "gid", "n", "other", "oz", "m"), "meets")
+    met = meets.groupBy("gid", "n", "other", "oz").agg(F.sum("m").alias("c"), F.count("*").alias("t"))
     # Beyond the shared prefix shingles, two sets share no more than what follows the prefix that ends first.
-    enough = "7 * (c + greatest(ceil(3 * nx / 4), ceil(3 * ny / 4)) - 1) >= 3 * (nx + ny)"
-    pairs = counted.filter(enough).select("x", "y")
+    fits = "4 * least(nx, ny) >= 3 * greatest(nx, ny)"
+    enough = f"{fits} AND 7 * ({{}} + greatest(ceil(3 * nx / 4), ceil(3 * ny / 4)) - 1) >= 3 * (nx + ny)"
+    # A group's bits are those of its first class; the others may have other sets, so a group of several has no bits.
+    bits = groups.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+    mine = met.join(bits, "gid").select(F.col("gid").alias("x"), F.col("n").alias("nx"), "other", "oz", "c", "t", F.col("bits").alias("bx"))
+    member = sized.join(bits, "gid").select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("bits").alias("by"))
+
+    def lacking(a: str, b: str) -> str:
+        return " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(BIT_WORDS))
+
+    # Each bit that the other set lacks is a shingle at least that it lacks.
+    overlap = f"least(nx - coalesce({lacking('bx', 'by')}, 0), ny - coalesce({lacking('by', 'bx')}, 0))"
+    count, enough = enough, f"{enough} AND 7 * {overlap} >= 3 * (nx + ny)"
+    alone = mine.filter("oz = 1").join(member, "other").filter(enough.format("c"))
+    # No member shares more than the shingles that a group shares with its whole component.
+    several = mine.filter("oz > 1 AND c > oz").join(member, "other").filter(enough.format("t"))
+    rare = meets.join(met.filter("oz > 1 AND c <= oz").select("gid", "other"), ["gid", "other"], "left_semi")
+    rare = rare.select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), "other").join(
+        posted.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other")), ["token", "other"]
+    )
+    rare = rare.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c")).filter(count.format("c"))
+    pairs = alone.select("x", "y").union(several.select("x", "y")).union(rare.select("x", "y"))
     ends = named.select("gid", "cid", "label")
     left = ends.select(F.col("gid").alias("x"), F.col("cid").alias("cx"), F.col("label").alias("lx"))
     right = ends.select(F.col("gid").alias("y"), F.col("cid").alias("cy"), F.col("label").alias("ly"))
@@ -323,10 +367,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = within.select("gid", F.col("cid").alias("x"), F.col("label").alias("lx")).join(
         within.select("gid", F.col("cid").alias("y"), F.col("label").alias("ly")), "gid"
     ).filter("x < y AND lx <> ly").select("x", "y")
-    found = merged(found, verify(expanded.union(within), docs))
-    for old in (lists, groups, named):
+    left = materialize(expanded.union(within).distinct(), "pairs")
+    sets = sets_of(left, docs)
+    found = merged(found, verify(left, sets))
+    discard(spark, left)
+    discard(spark, sets)
+    for old in (lists, groups, named, sized, meets):
         discard(spark, old)
-    _release(spark)
+    release(spark)
     return rows, found
 
 
