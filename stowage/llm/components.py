@@ -28,7 +28,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, component`` for every node of the links ``x, y``; a component is named by its smallest node."""
+    """``node, component`` of the links ``x, y``: each node but its component's smallest, which names it."""
     spark = links.sparkSession
     now = materialize(
         links.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "links"
