@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from stowage.llm.workers import drop
 from stowage.session import materialize, shuffle_width
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -113,6 +114,7 @@ def _rows(batch: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tuple[i
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop()
     first: dict[bytes, int] = {}
     count: dict[bytes, int] = {}
 

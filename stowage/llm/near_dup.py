@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.llm.components import components
+from stowage.llm.workers import drop
 from stowage.session import discard, materialize, release
 
 WORDS = 5
@@ -49,8 +50,8 @@ CELLS, PIECES = 2**22, 64
 BIT_WORDS = 8
 #: Words whose hashes a task keeps.
 KEPT_WORDS = 400_000
-#: Rounds of neighbours in posting lists, each with its share of the shingles, before all pairs are taken.
-NEIGHBOUR_ROUNDS = 4
+#: Rounds of neighbours in posting lists, each with a part of the shingles, before all pairs are taken.
+NEIGHBOUR_ROUNDS, PARTS = 2, 4
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -94,6 +95,7 @@ def _cell(h: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop()
     words, cells, seen = WordHashes(), np.zeros(CELLS, np.uint32), False
     held: list[np.ndarray] = []
     size = 0
@@ -158,6 +160,7 @@ def describe(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(commonness(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         words, common = WordHashes(), shared.value
         for batch in batches:
             rows = []
@@ -236,6 +239,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop()
     words = WordHashes()
     for batch in batches:
         yield pa.record_batch({"id": batch.column(0), "members": pa.array([np.unique(shingles(t, words)).tobytes() for t in _texts(batch)], pa.binary())})
@@ -318,7 +322,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(links))
 
     for turn in range(NEIGHBOUR_ROUNDS):
-        tagged = shared.filter(F.pmod("token", F.lit(NEIGHBOUR_ROUNDS)) == turn).join(by_group(labelled(found)), "gid")
+        tagged = shared.filter(F.pmod("token", F.lit(PARTS)) == turn).join(by_group(labelled(found)), "gid")
         near = neighbours(tagged.select(F.col("token").alias("key"), F.xxhash64("gid", "token").alias("rank"), F.col("gid").alias("id"), "label", "sign"))
         found = merged(found, verify(near, sets))
         release(spark)
@@ -326,28 +330,36 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(spark, shared)
 
     named = materialize(labelled(found), "labels")
+    # A group of several classes, whose sets differ, has no bits.
+    bits = groups.groupBy("gid").agg(F.first("n").alias("n"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     sized = by_group(named)
-    sized = sized.join(sized.groupBy("label").agg(F.count("*").alias("z")), "label").join(groups.filter("cid = gid").select("gid", "n"), "gid")
-    sized = materialize(sized.select("gid", "n", "label", "z"), "sized")
-    posted = lists.select("token", "gid").join(sized, "gid")
-    held = posted.groupBy("token", F.col("label").alias("other")).agg(F.first("z").alias("oz"), F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"))
+    sized = materialize(sized.join(sized.groupBy("label").agg(F.count("*").alias("z")), "label").join(bits, "gid"), "sized")
+
+    def overlap(a: str, b: str, words: int) -> str:
+        """No more than what is left of either set without the shingles that the bits show the other to lack."""
+
+        def lacking(one: str, other: str) -> str:
+            return "coalesce(" + " + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(words)) + ", 0)"
+
+        return f"least(nx - {lacking(a, b)}, ny - {lacking(b, a)})"
+
+    # Postings carry the bits folded in half.
+    half = BIT_WORDS // 2
+    folded = F.transform(F.slice("bits", 1, half), lambda x, i: x.bitwiseOR(F.col("bits")[i + half]))
+    posted = lists.select("token", "gid").join(sized.select("gid", "n", "label", "z", folded.alias("bits")), "gid")
+    held = posted.groupBy("token", F.col("label").alias("other")).agg(
+        F.first("z").alias("oz"), F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("bits").alias("by")
+    )
     meets = posted.join(held, "token").filter("(z < oz OR (z = oz AND label < other)) AND 4 * n >= 3 * low AND 4 * high >= 3 * n")
+    plausible = overlap("bits", "by", half).replace("nx", "n").replace("ny", "low")
+    meets = meets.filter(f"oz > 1 OR 7 * {plausible} >= 3 * (n + low)")
     meets = materialize(meets.select("token", "gid", "n", "other", "oz", "m"), "meets")
     met = meets.groupBy("gid", "n", "other", "oz").agg(F.sum("m").alias("c"), F.count("*").alias("t"))
     # Beyond the shared prefix shingles, two sets share no more than what follows the prefix that ends first.
-    fits = "4 * least(nx, ny) >= 3 * greatest(nx, ny)"
-    enough = f"{fits} AND 7 * ({{}} + greatest(ceil(3 * nx / 4), ceil(3 * ny / 4)) - 1) >= 3 * (nx + ny)"
-    # A group's bits are those of its first class; the others may have other sets, so a group of several has no bits.
-    bits = groups.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
-    mine = met.join(bits, "gid").select(F.col("gid").alias("x"), F.col("n").alias("nx"), "other", "oz", "c", "t", F.col("bits").alias("bx"))
-    member = sized.join(bits, "gid").select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("bits").alias("by"))
-
-    def lacking(a: str, b: str) -> str:
-        return " + ".join(f"bit_count({a}[{i}] & ~{b}[{i}])" for i in range(BIT_WORDS))
-
-    # Each bit that the other set lacks is a shingle at least that it lacks.
-    overlap = f"least(nx - coalesce({lacking('bx', 'by')}, 0), ny - coalesce({lacking('by', 'bx')}, 0))"
-    count, enough = enough, f"{enough} AND 7 * {overlap} >= 3 * (nx + ny)"
+    count = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND 7 * ({} + greatest(ceil(3 * nx / 4), ceil(3 * ny / 4)) - 1) >= 3 * (nx + ny)"
+    enough = f"{count} AND 7 * {overlap('bx', 'by', BIT_WORDS)} >= 3 * (nx + ny)"
+    mine = met.join(sized.select("gid", "bits"), "gid").select(F.col("gid").alias("x"), F.col("n").alias("nx"), "other", "oz", "c", "t", F.col("bits").alias("bx"))
+    member = sized.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("bits").alias("by"))
     alone = mine.filter("oz = 1").join(member, "other").filter(enough.format("c"))
     # No member shares more than the shingles that a group shares with its whole component.
     several = mine.filter("oz > 1 AND c > oz").join(member, "other").filter(enough.format("t"))

@@ -19,7 +19,6 @@ columns of the input are not returned.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import zlib
@@ -30,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stowage.llm.workers import kept
 from stowage.session import materialize
 
 LENGTH = 2048
@@ -55,11 +55,6 @@ def _parts(text: bytes) -> list[bytes]:
     return _TAIL.sub(rb"\1 \2", text).split()
 
 
-@functools.lru_cache(maxsize=2)
-def _encoder(model: str) -> WordEncoder:
-    return WordEncoder(model)
-
-
 class WordEncoder:
     """Ids of texts by way of their words.
 
@@ -167,7 +162,7 @@ def tokenize(docs: DataFrame, model: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
+        encoder = kept(shared.value, lambda: WordEncoder(shared.value))
         closing = np.array([CLOSING], encoder.width).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
@@ -226,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
     with open(tokenizer, encoding="utf-8") as f:
         model = f.read()
     tokens = tokenize(docs, model).withColumn("row", F.monotonically_increasing_id())
-    tokens = materialize(tokens, "tokens")
+    tokens = materialize(tokens, "tokens", "snappy")
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_id = TaskContext.get().partitionId() << 32

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql import Window
 
+from stowage.llm.workers import drop
 from stowage.session import discard, materialize, release
 
 LEAST = 50
@@ -160,6 +161,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of ``doc, part, text``, each with its context packed in x."""
+    drop()
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
