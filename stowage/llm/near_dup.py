@@ -256,6 +256,22 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"x": batch.column(0).filter(mask), "y": batch.column(1).filter(mask)})
 
 
+def overlap(a: str, b: str, words: int = BIT_WORDS) -> str:
+    """An upper bound of the overlap of sets of nx and ny: either set without what the bits show the other to lack."""
+
+    def lacking(one: str, other: str) -> str:
+        return "coalesce(" + " + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(words)) + ", 0)"
+
+    return f"least(nx - {lacking(a, b)}, ny - {lacking(b, a)})"
+
+
+def possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``x, y`` of classes ``cid, n, bits`` that sizes and bitmaps don't rule out."""
+    left = classes.select(F.col("cid").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    right = classes.select(F.col("cid").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    return pairs.join(left, "x").join(right, "y").filter(f"7 * {overlap('bx', 'by')} >= 3 * (nx + ny)").select("x", "y")
+
+
 def sets_of(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``id, members`` of the documents in pairs ``x, y``."""
     ids = pairs.select(F.col("x").alias("__id")).union(pairs.select("y")).distinct()
@@ -299,7 +315,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Likely pairs: neighbours by minimum hash, neighbours within a group, several texts of one doc_id.
     keyed = groups.select(F.explode("low").alias("key"), F.col("n").alias("rank"), F.col("cid").alias("id"), F.col("cid").alias("label"), "sign")
     inside = groups.filter("cid <> gid").select(F.col("gid").alias("x"), F.col("cid").alias("y"))
-    likely = materialize(neighbours(keyed).union(inside).distinct(), "pairs")
+    likely = materialize(possible(neighbours(keyed).union(inside), groups).distinct(), "pairs")
     sets = sets_of(likely, docs)
     first = rows.filter("cid IS NOT NULL").groupBy("doc_id").agg(F.min("cid").alias("x"))
     same = rows.join(first, "doc_id").filter("x < cid").select("x", F.col("cid").alias("y")).distinct()
@@ -324,7 +340,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for turn in range(NEIGHBOUR_ROUNDS):
         tagged = shared.filter(F.pmod("token", F.lit(PARTS)) == turn).join(by_group(labelled(found)), "gid")
         near = neighbours(tagged.select(F.col("token").alias("key"), F.xxhash64("gid", "token").alias("rank"), F.col("gid").alias("id"), "label", "sign"))
-        found = merged(found, verify(near, sets))
+        found = merged(found, verify(possible(near, groups), sets))
         release(spark)
     discard(spark, sets)
     discard(spark, shared)
@@ -335,14 +351,6 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = by_group(named)
     sized = materialize(sized.join(sized.groupBy("label").agg(F.count("*").alias("z")), "label").join(bits, "gid"), "sized")
 
-    def overlap(a: str, b: str, words: int) -> str:
-        """No more than what is left of either set without the shingles that the bits show the other to lack."""
-
-        def lacking(one: str, other: str) -> str:
-            return "coalesce(" + " + ".join(f"bit_count({one}[{i}] & ~{other}[{i}])" for i in range(words)) + ", 0)"
-
-        return f"least(nx - {lacking(a, b)}, ny - {lacking(b, a)})"
-
     # Postings carry the bits folded in half.
     half = BIT_WORDS // 2
     folded = F.transform(F.slice("bits", 1, half), lambda x, i: x.bitwiseOR(F.col("bits")[i + half]))
@@ -357,7 +365,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = meets.groupBy("gid", "n", "other", "oz").agg(F.sum("m").alias("c"), F.count("*").alias("t"))
     # Beyond the shared prefix shingles, two sets share no more than what follows the prefix that ends first.
     count = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND 7 * ({} + greatest(ceil(3 * nx / 4), ceil(3 * ny / 4)) - 1) >= 3 * (nx + ny)"
-    enough = f"{count} AND 7 * {overlap('bx', 'by', BIT_WORDS)} >= 3 * (nx + ny)"
+    enough = f"{count} AND 7 * {overlap('bx', 'by')} >= 3 * (nx + ny)"
     mine = met.join(sized.select("gid", "bits"), "gid").select(F.col("gid").alias("x"), F.col("n").alias("nx"), "other", "oz", "c", "t", F.col("bits").alias("bx"))
     member = sized.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("bits").alias("by"))
     alone = mine.filter("oz = 1").join(member, "other").filter(enough.format("c"))
