@@ -6,9 +6,13 @@ time, for the operator that ran last; an operator that keeps nothing drops it.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _kept: dict[Hashable, Any] = {}
 
 
@@ -21,4 +25,13 @@ def kept(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 def drop() -> None:
+    """Forget what is kept, and give its memory back to the system where that is possible."""
+    if not _kept:
+        return
     _kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
