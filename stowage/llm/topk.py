@@ -12,16 +12,20 @@ can still be among the best are few: outsiders, read or unread, have upper bound
 the k-th lower bound, which counts what earlier blocks of the task gave. The last step
 resolves the candidates' scores. At full depth the bounds are the scores, so it ends.
 
-Integers are exact: components are below 2**23 in size, so sums stay below 2**53.
-
-Cases: null vectors and ids, empty vectors, and vectors with null, non-finite or huge
-components (2**15 or more) take no part; a query with fewer candidates gets them all;
-ties go to the smaller vec_id; repeated rows are candidates each; an empty input gives
-an empty result.
+Integers are exact. Where a block's sums stay below 2**53, doubles hold them. Elsewhere
+the bounds are widened by what doubles may round off, and the candidates' scores are
+resolved in Python's integers. Scores are 64-bit integers, as in the SQL; where one of
+2**63 - 1 or more in size is among the best, the query fails and says so.
+
+Cases: null vectors and ids, empty vectors, and vectors with null or non-finite
+components take no part; a query with fewer candidates gets them all; ties go to the
+smaller vec_id; repeated rows are candidates each; an empty input gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,11 +33,14 @@ from stowage.llm.vectors import QUERIES, Best, Search, search, usable
 
 K = 5
 EVERY = 50
-LARGEST = 2.0**15
+#: Doubles hold integers below it; scores of this size or more don't fit the result.
+EXACT, BEYOND = 2.0**53, 2**63 - 1
 #: Shares of the lists that are read before the bounds are looked at.
 DEPTHS = (0.25, 0.5, 0.75)
 #: Reading stops when a query has so many candidates in a block, at most.
 FEW = 64
+#: Pairs whose scores are resolved at once.
+PAIRS = 100_000
 
 
 def _kth(values: np.ndarray, k: int) -> np.ndarray:
@@ -42,16 +49,41 @@ def _kth(values: np.ndarray, k: int) -> np.ndarray:
     return np.partition(values, values.shape[1] - k, axis=1)[:, -k]
 
 
+def _whole(x: float) -> int:
+    return math.floor(256 * x) if abs(x) < 2.0**900 else 256 * int(x)
+
+
+def _scores(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Exact scores of the pairs ``q, r`` of vectors; what doesn't fit becomes BEYOND or its negative."""
+    out = np.empty(len(q), np.int64)
+    for at in range(0, len(q), PAIRS):
+        some = slice(at, at + PAIRS)
+        with np.errstate(over="ignore", invalid="ignore"):
+            a, b = np.floor(256 * queries[q[some]]), np.floor(256 * rows[r[some]])
+            fits = np.einsum("ij,ij->i", np.abs(a), np.abs(b)) < EXACT / 2
+        out[some][fits] = np.einsum("ij,ij->i", a[fits], b[fits])
+        for i in at + np.flatnonzero(~fits):
+            score = sum(_whole(x) * _whole(y) for x, y in zip(queries[q[i]].tolist(), rows[r[i]].tolist(), strict=True))
+            out[i] = max(-BEYOND, min(BEYOND, score))
+    return out
+
+
 def no_random_access(k: int) -> Search:
     def run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, best: Best) -> None:
-        rows, queries = np.floor(256 * rows), np.floor(256 * queries)
+        given_queries, given_rows = queries, rows
+        with np.errstate(over="ignore"):
+            rows, queries = np.floor(256 * rows), np.floor(256 * queries)
+        n, d = rows.shape
         lists = np.sort(rows, axis=0)[::-1]
         rank = np.argsort(np.argsort(-rows, axis=0, kind="stable"), axis=0)
-        kind = np.float32 if np.abs(rows).max() * np.abs(queries).max(initial=0) * rows.shape[1] < 2**24 else np.float64
-        n = len(ids)
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.abs(rows).max() * np.abs(queries).max(initial=0) * d
+        kind = np.float32 if most < 2**24 else np.float64
+        # Twice what the sums of d rounded products may be off by, as a share of the sum of their sizes.
+        slack = 0.0 if most < EXACT else 4 * d * 2.0**-53
         least = best.least()
         waiting = np.arange(len(query_ids))
-        for share in (*DEPTHS, 1.0):
+        for share in (*DEPTHS, 1.0) if most < 2.0**1000 else (1.0,):
             depth = min(n, max(k, int(np.ceil(share * n))))
             if not len(waiting):
                 break
@@ -63,19 +95,27 @@ def no_random_access(k: int) -> Search:
             for some in np.array_split(waiting, -(-len(waiting) // QUERIES)):
                 up, down = np.maximum(queries[some], 0).astype(kind), np.minimum(queries[some], 0).astype(kind)
                 own = query_ids[some][:, None] == ids
-                upper = up @ upper_top.T + down @ upper_bottom.T
-                upper[own] = -np.inf
-                if depth < n:
-                    lower = up @ lower_top.T + down @ lower_bottom.T
-                    lower[own] = -np.inf
-                    bound = np.maximum(least[some], _kth(lower, k))
+
+                def products(a: np.ndarray, b: np.ndarray, off: float, up=up, down=down) -> np.ndarray:
+                    total = up @ a.T + down @ b.T
+                    return total + off * (up @ np.abs(a).T - down @ np.abs(b).T) if off else total
+
+                if most < 2.0**1000:
+                    upper = products(upper_top, upper_bottom, slack)
+                    upper[own] = -np.inf
+                    if depth < n or slack:
+                        lower = products(lower_top, lower_bottom, -slack)
+                        lower[own] = -np.inf
+                        bound = np.maximum(least[some], _kth(lower, k))
+                    else:
+                        bound = np.maximum(least[some], _kth(upper, k))
+                    can = (upper >= bound[:, None]) & ~own
                 else:
-                    bound = np.maximum(least[some], _kth(upper, k))
-                can = (upper >= bound[:, None]) & ~own
+                    # Doubles don't hold the sums: all are candidates.
+                    can = ~own
                 done = can.sum(axis=1) <= FEW if depth < n else np.ones(len(some), bool)
                 q, r = np.nonzero(can & done[:, None])
-                score = np.einsum("ij,ij->i", queries[some[q]], rows[r])
-                best.add(some[q], ids[r], score)
+                best.add(some[q], ids[r], _scores(given_queries, given_rows, some[q], r))
                 left.append(some[~done])
             waiting = np.concatenate(left)
 
@@ -84,8 +124,9 @@ def no_random_access(k: int) -> Search:
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose vec_id is divisible by ``every``."""
-    found = search(usable(vectors, LARGEST), F.col("vec_id") % every == 0, lambda d: no_random_access(k), k)
-    return found.withColumn("score", F.col("score").cast("long"))
+    found = search(usable(vectors, float("inf")), F.col("vec_id") % every == 0, lambda d: no_random_access(k), k, np.int64)
+    fails = F.raise_error(F.concat(F.lit("a score of vec_id "), F.col("query_id").cast("string"), F.lit(" does not fit 64 bits"))).cast("long")
+    return found.withColumn("score", F.when(F.col("score").between(-BEYOND + 1, BEYOND - 1), F.col("score")).otherwise(fails))
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

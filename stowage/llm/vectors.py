@@ -28,11 +28,11 @@ def usable(vectors: DataFrame, largest: float, zeros: bool = True) -> DataFrame:
 
 
 class Best:
-    """The best ``k`` of each query so far: the highest scores, ties to the smaller id."""
+    """The best ``k`` of each query so far: the highest scores, ties to the smaller id. Scores are doubles or 64-bit integers."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, kind: type = np.float64) -> None:
         self.k, self.queries = k, queries
-        self.query, self.ident, self.score = (np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        self.query, self.ident, self.score = (np.zeros(0, t) for t in (np.int64, np.int64, kind))
 
     def add(self, query: np.ndarray, ident: np.ndarray, score: np.ndarray) -> None:
         query, ident, score = np.r_[self.query, query], np.r_[self.ident, ident], np.r_[self.score, score]
@@ -43,18 +43,20 @@ class Best:
         self.query, self.ident, self.score = query[keep], ident[keep], score[keep]
 
     def least(self) -> np.ndarray:
-        """The k-th best score of each query, or minus infinity."""
+        """The k-th best score of each query or, where doubles don't hold it, less; or minus infinity."""
         out = np.full(self.queries, -np.inf)
         full = np.bincount(self.query, minlength=self.queries) >= self.k
         ends = np.searchsorted(self.query, np.arange(self.queries), "right") - 1
-        out[full] = self.score[ends[full]]
+        score = self.score[ends[full]]
+        rounded = score.astype(np.float64)
+        out[full] = np.where(np.abs(rounded) < 2.0**53, rounded, np.nextafter(rounded, -np.inf)) if score.dtype == np.int64 else rounded
         return out
 
 
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Best], None]
 
 
-def search(vectors: DataFrame, wanted: Column, prepare: Callable[[int], Search], k: int) -> DataFrame:
+def search(vectors: DataFrame, wanted: Column, prepare: Callable[[int], Search], k: int, kind: type = np.float64) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each query the ``k`` rows of highest score.
 
     ``prepare(dimensions)`` gives the search of a block: ids and rows of the queries, ids
@@ -78,7 +80,7 @@ def search(vectors: DataFrame, wanted: Column, prepare: Callable[[int], Search],
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             queries = shared.value
-            best = {d: Best(len(ids), k) for d, (ids, _) in queries.items()}
+            best = {d: Best(len(ids), k, kind) for d, (ids, _) in queries.items()}
             searches = {d: prepare(d) for d in queries}
             for whole in batches:
                 for at in range(0, whole.num_rows, ROWS):
@@ -92,7 +94,8 @@ def search(vectors: DataFrame, wanted: Column, prepare: Callable[[int], Search],
             for d, b in best.items():
                 yield pa.record_batch({"query_id": queries[d][0][b.query], "vec_id": b.ident, "score": b.score})
 
-        near = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+        score = "long" if kind is np.int64 else "double"
+        near = vectors.select("vec_id", "embedding").mapInArrow(run, f"query_id long, vec_id long, score {score}")
         found.append(materialize(near, "best") if passes > 1 else near)
     every = found[0]
     for more in found[1:]:

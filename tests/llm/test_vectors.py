@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -81,3 +83,40 @@ def test_recall_and_distances(spark, n, d):
         hits += len({m[2] for m in mine} & set(ids[order].tolist()))
         total += len(order)
     assert hits >= 0.9 * total
+
+
+def brute_whole(rows, every, k):
+    """The best in Python's integers; rows are repeated neither by id nor by vector."""
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    out = []
+    for i in sorted(whole):
+        if i % every == 0:
+            scores = sorted((-sum(x * y for x, y in zip(whole[i], w, strict=True)), j) for j, w in whole.items() if j != i)
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
+    return out
+
+
+def test_large_components_and_many_dimensions_are_exact(spark):
+    def top(rows, every):
+        return sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table(spark, rows).repartition(3), every, 5).collect())
+
+    rows = data(300, 8)
+    rows[7], rows[10] = (7, [40000.0] * 8), (10, [-40000.0, 50000.0] * 4)
+    got = top(rows, 5)
+    assert got == brute_whole(rows, 5, 5) and {q for q, *_ in got} >= {10} and any(j == 7 for _, _, j, _ in got)
+
+    # Sums pass 2**53, and scores differ by less than doubles there tell apart.
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in np.float32(30000 + rng.integers(0, 2, 512) / 256)]) for i in range(120)]
+    assert top(rows, 5) == brute_whole(rows, 5, 5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=16) * 2.0 ** rng.integers(-8, 21))]) for i in range(400)]
+    assert top(rows, 5) == brute_whole(rows, 5, 5)
+
+
+def test_scores_beyond_64_bits_fail(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e30, 1.0]), (2, [1.0, 1.0])]
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        topk.top_k(table(spark, rows)).collect()
+    # Those that are not among the best do no harm.
+    rows = [(0, [1e30, 1.0]), *((i, [-1e30, 1.0]) for i in range(1, 4)), *((i, [0.0, float(i)]) for i in range(4, 9))]
+    assert [(r.vec_id, r.score) for r in topk.top_k(table(spark, rows)).orderBy("rank").collect()] == [(i, 65536 * i) for i in range(8, 3, -1)]
