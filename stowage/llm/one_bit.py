@@ -17,6 +17,8 @@ Cases: null vectors and ids, zero and empty vectors, and vectors with null or
 non-finite components take no part; a query with fewer candidates gets them all; ties
 go to the smaller vec_id; repeated rows are candidates each; an empty input gives an
 empty result.
+Several vectors of one vec_id are all searched for, equal ones once, and are ranked
+together; none of them is a candidate of that id.
 """
 
 from __future__ import annotations

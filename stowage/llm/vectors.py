@@ -61,16 +61,17 @@ def search(vectors: DataFrame, wanted: Column, prepare: Callable[[int], Search],
 
     ``prepare(dimensions)`` gives the search of a block: ids and rows of the queries, ids
     and rows of the block, and the best lists to add to, by a query's place. Rows count
-    for queries with as many components. Of rows that share a vec_id the smallest vector
-    is the query; rows with the query's vec_id are no candidates.
+    for queries with as many components. Every different vector of a wanted vec_id is
+    searched for, and the ``k`` are the best of all its searches, as in SQL that ranks by
+    the query's id; rows with the query's vec_id are no candidates.
     """
     spark = vectors.sparkSession
-    asked = materialize(vectors.filter(wanted).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
+    asked = materialize(vectors.filter(wanted).select("vec_id", "embedding").distinct(), "queries")
     size = asked.agg(F.sum(F.size("embedding") * 8)).first()[0] or 0
     passes = -(-size // PASS_BYTES) or 1
     found = []
     for part in range(passes):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == part).orderBy("vec_id").toArrow()
+        rows = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(passes)) == part).orderBy("vec_id", "embedding").toArrow()
         by: dict[int, tuple[list[int], list[list[float]]]] = {}
         for ident, vector in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
             ids, many = by.setdefault(len(vector), ([], []))

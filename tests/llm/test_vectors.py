@@ -120,3 +120,22 @@ def test_scores_beyond_64_bits_fail(spark):
     # Those that are not among the best do no harm.
     rows = [(0, [1e30, 1.0]), *((i, [-1e30, 1.0]) for i in range(1, 4)), *((i, [0.0, float(i)]) for i in range(4, 9))]
     assert [(r.vec_id, r.score) for r in topk.top_k(table(spark, rows)).orderBy("rank").collect()] == [(i, 65536 * i) for i in range(8, 3, -1)]
+
+
+def test_all_vectors_of_a_repeated_id_are_searched(spark, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from stowage.llm import vectors
+
+    rows = [(i % 60, v) for i, v in data(200, 6, 9)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = sorted(con.sql(topk.ORACLE).fetchall())
+    near = []
+    for i in (0, 100):
+        ranked = sorted((np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()), j) for q, v in rows for j, w in rows if q == i and j != i)[:10]
+        near += [(i, r + 1, j, pytest.approx(d, abs=1e-9)) for r, (d, j) in enumerate(ranked)]
+    for size in (vectors.PASS_BYTES, 100):
+        monkeypatch.setattr(vectors, "PASS_BYTES", size)
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table(spark, rows)).collect()) == want
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in one_bit.nearest(table(spark, rows)).collect()) == near
