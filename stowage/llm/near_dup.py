@@ -330,15 +330,16 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return named.select("cid", "gid", "n", F.coalesce("component", "cid").alias("label"))
 
     def by_group(named: DataFrame) -> DataFrame:
-        # A group whose classes are not all in one component has a label of its own.
-        label = F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(-1 - F.col("gid"))
-        return named.groupBy("gid").agg(label.alias("label"))
+        # A group whose classes are not all in one component is mixed and has a label of its own, which
+        # may be that of a component too: only together with ``mixed`` do labels tell groups apart.
+        mixed = F.min("label") < F.max("label")
+        return named.groupBy("gid").agg(F.when(mixed, -1 - F.col("gid")).otherwise(F.min("label")).alias("label"), mixed.alias("mixed"))
 
     def merged(found: DataFrame, links: DataFrame) -> DataFrame:
         return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(links))
 
     for turn in range(NEIGHBOUR_ROUNDS):
-        tagged = shared.filter(F.pmod("token", F.lit(PARTS)) == turn).join(by_group(labelled(found)), "gid")
+        tagged = shared.filter(F.pmod("token", F.lit(PARTS)) == turn).join(by_group(labelled(found)).drop("mixed"), "gid")
         near = neighbours(tagged.select(F.col("token").alias("key"), F.xxhash64("gid", "token").alias("rank"), F.col("gid").alias("id"), "label", "sign"))
         found = merged(found, verify(possible(near, groups), sets))
         release(spark)
@@ -349,14 +350,17 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A group of several classes, whose sets differ, has no bits.
     bits = groups.groupBy("gid").agg(F.first("n").alias("n"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     sized = by_group(named)
-    sized = materialize(sized.join(sized.groupBy("label").agg(F.count("*").alias("z")), "label").join(bits, "gid"), "sized")
+    # The groups of a component, or 0 for a mixed group, so that label and z are a key.
+    z = F.when(F.col("mixed"), 0).otherwise(F.count("*")).alias("z")
+    sized = sized.join(sized.groupBy("label", "mixed").agg(z), ["label", "mixed"]).drop("mixed")
+    sized = materialize(sized.join(bits, "gid"), "sized")
 
     # Postings carry the bits folded in half.
     half = BIT_WORDS // 2
     folded = F.transform(F.slice("bits", 1, half), lambda x, i: x.bitwiseOR(F.col("bits")[i + half]))
     posted = lists.select("token", "gid").join(sized.select("gid", "n", "label", "z", folded.alias("bits")), "gid")
-    held = posted.groupBy("token", F.col("label").alias("other")).agg(
-        F.first("z").alias("oz"), F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("bits").alias("by")
+    held = posted.groupBy("token", F.col("label").alias("other"), F.col("z").alias("oz")).agg(
+        F.count("*").alias("m"), F.min("n").alias("low"), F.max("n").alias("high"), F.first("bits").alias("by")
     )
     meets = posted.join(held, "token").filter("(z < oz OR (z = oz AND label < other)) AND 4 * n >= 3 * low AND 4 * high >= 3 * n")
     plausible = overlap("bits", "by", half).replace("nx", "n").replace("ny", "low")
@@ -367,13 +371,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     count = "4 * least(nx, ny) >= 3 * greatest(nx, ny) AND 7 * ({} + greatest(ceil(3 * nx / 4), ceil(3 * ny / 4)) - 1) >= 3 * (nx + ny)"
     enough = f"{count} AND 7 * {overlap('bx', 'by')} >= 3 * (nx + ny)"
     mine = met.join(sized.select("gid", "bits"), "gid").select(F.col("gid").alias("x"), F.col("n").alias("nx"), "other", "oz", "c", "t", F.col("bits").alias("bx"))
-    member = sized.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("bits").alias("by"))
-    alone = mine.filter("oz = 1").join(member, "other").filter(enough.format("c"))
+    member = sized.select(F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("z").alias("oz"), F.col("bits").alias("by"))
+    alone = mine.filter("oz <= 1").join(member, ["other", "oz"]).filter(enough.format("c"))
     # No member shares more than the shingles that a group shares with its whole component.
-    several = mine.filter("oz > 1 AND c > oz").join(member, "other").filter(enough.format("t"))
-    rare = meets.join(met.filter("oz > 1 AND c <= oz").select("gid", "other"), ["gid", "other"], "left_semi")
-    rare = rare.select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), "other").join(
-        posted.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other")), ["token", "other"]
+    several = mine.filter("oz > 1 AND c > oz").join(member, ["other", "oz"]).filter(enough.format("t"))
+    rare = meets.join(met.filter("oz > 1 AND c <= oz").select("gid", "other", "oz"), ["gid", "other", "oz"], "left_semi")
+    rare = rare.select("token", F.col("gid").alias("x"), F.col("n").alias("nx"), "other", "oz").join(
+        posted.select("token", F.col("gid").alias("y"), F.col("n").alias("ny"), F.col("label").alias("other"), F.col("z").alias("oz")), ["token", "other", "oz"]
     )
     rare = rare.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("c")).filter(count.format("c"))
     pairs = alone.select("x", "y").union(several.select("x", "y")).union(rare.select("x", "y"))
@@ -382,7 +386,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     right = ends.select(F.col("gid").alias("y"), F.col("cid").alias("cy"), F.col("label").alias("ly"))
     expanded = pairs.join(left, "x").join(right, "y").filter("lx <> ly").select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"))
     # Classes of one group that are not connected yet: they share a prefix, so all such pairs are candidates.
-    split = by_group(named).filter("label < 0").select("gid")
+    split = sized.filter("z = 0").select("gid")
     within = ends.join(split, "gid", "left_semi")
     within = within.select("gid", F.col("cid").alias("x"), F.col("label").alias("lx")).join(
         within.select("gid", F.col("cid").alias("y"), F.col("label").alias("ly")), "gid"

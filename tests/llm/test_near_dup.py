@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stowage.llm import near_dup
@@ -95,3 +97,15 @@ def test_order_does_not_change_the_result(spark, documents, monkeypatch):
     usual = sorted(map(tuple, near_dup.near_duplicates(rows).collect()))
     monkeypatch.setattr(near_dup, "NEIGHBOUR_ROUNDS", 1)
     assert sorted(map(tuple, near_dup.near_duplicates(rows.repartition(7)).collect())) == usual
+
+
+@pytest.mark.parametrize(("a", "b", "c", "n"), [(-30, -20, -10, 90), (4, 6, -5, 86), (-5, 6, 4, 86), (10, 20, 30, 90), (-(2**63), 2**63 - 1, 5, 90)])
+def test_last_step_is_exact_for_any_ids(spark, monkeypatch, a, b, c, n):
+    # Three texts whose rarest shingles are the same; the second and third link. No likely pairs.
+    shared, first, second, third = ([f"{x}{i}" for i in range(m)] for x, m in (("p", 30), ("a", 60), ("b", 60), ("c", 5)))
+    rows = [(a, shared + first), (b, shared + second), (c, (shared + second[:55] + third)[:n])]
+    common = np.ones(near_dup.CELLS, np.uint16)
+    common[near_dup._cell(near_dup.shingles(" ".join(shared).encode(), near_dup.WordHashes()))] = 0
+    monkeypatch.setattr(near_dup, "commonness", lambda docs: common)
+    monkeypatch.setattr(near_dup, "neighbours", lambda df: df.select(F.col("id").alias("x"), F.col("id").alias("y")).limit(0))
+    check(spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string"))
