@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.llm import line_dedup, mixing, near_dup, packing, quality
+from stowage.operators import order
 from stowage.session import materialize, ship
 
 
@@ -35,14 +36,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; documents without words or doc_id stay."""
-    rows, found = near_dup.link(docs)
-    dropped = rows.join(found, F.col("cid") == F.col("node"), "left").filter("doc_id <> coalesce(component, cid)").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each group; documents without words or doc_id stay.
+
+    Where a doc_id repeats, rows are documents: each is judged by its own text, and
+    those of one doc_id rank by a hash of it. Of rows with the same doc_id and text the
+    first by the other columns stays.
+    """
     if docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    once = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return once.union(kept.filter("doc_id IS NULL"))
+        return _first_of_groups(docs, "doc_id").select(*docs.columns)
+    known = docs.filter("doc_id IS NOT NULL")
+    ranked = Window.partitionBy("doc_id", "text").orderBy(*docs.columns)
+    once = known.withColumn("__rank", F.row_number().over(ranked)).filter("__rank = 1").drop("__rank")
+    once = order.number(once, [F.col("doc_id"), F.sha2("text", 256)], "__place")
+    return _first_of_groups(once, "__place").select(*docs.columns).union(docs.filter("doc_id IS NULL"))
+
+
+def _first_of_groups(docs: DataFrame, key: str) -> DataFrame:
+    """The rows of a unique ``key`` that is the smallest of its group, and those without words or key."""
+    rows, found = near_dup.link(docs.select(F.col(key).alias("doc_id"), "text"))
+    dropped = rows.join(found, F.col("cid") == F.col("node"), "left").filter("doc_id <> coalesce(component, cid)").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(dropped, key, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,12 @@ def test_stages_take_odd_rows(spark, small, odd, empty):
 def test_sample_is_bounded(documents, spark, small):
     labels = spark.read.parquet(f"{small}/labels.parquet")
     assert labelled.training_rows(documents, labels, "quality", 10).count() == 10
+
+
+def test_repeated_ids_are_judged_by_row(spark, small):
+    a, b, c = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "some other text of its own words"
+    rows = [(5, a, "x"), (5, c, "x"), (5, b, "z"), (5, b, "y"), (5, "", "x"), (5, "", "x"), (3, a, "x"), (7, b, "x"), (8, None, "x"), (8, None, "y"), (9, "", "x"), (None, a, "x"), (None, a, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted([(5, c, "x"), (5, b, "y"), (5, "", "x"), (3, a, "x"), (8, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")], key=str)
+    for n in (1, 4):
+        assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, table.repartition(n), small).collect()), key=str) == want
