@@ -58,6 +58,13 @@ def digest_members(chunks: DataFrame, key: str, data: str, algorithm: str = "sha
     return rows.repartition(key).sortWithinPartitions(key, "chunk_index").mapInArrow(run, f"`{key}` {kind}, digest binary")
 
 
+def digest_all(df: DataFrame, key: str, data: str, chunk: int = CHUNK, algorithm: str = "sha256") -> DataFrame:
+    """``key, digest`` of every row's data; null and empty data have the digest of empty input."""
+    full = digest_members(cut(df.select(key, data), data, chunk), key, "chunk", algorithm)
+    empty = F.lit(HASHERS[algorithm]().digest())
+    return full.union(df.filter(F.coalesce(F.octet_length(data), F.lit(0)) == 0).select(key, empty.alias("digest")))
+
+
 def arrow_type(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 

@@ -54,8 +54,8 @@ def member_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def member_digest_blake3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks.cut(_documents(spark, sf_dir), "data", CHUNK)
-    return chunks.digest_members(rows, "doc_id", "chunk", "blake3").select("doc_id", F.lower(F.hex("digest")).alias("digest"))
+    rows = chunks.digest_all(_documents(spark, sf_dir), "doc_id", "data", CHUNK, "blake3")
+    return rows.select("doc_id", F.lower(F.hex("digest")).alias("digest"))
 
 
 @query("""

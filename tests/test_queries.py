@@ -20,6 +20,14 @@ def test_blake3_members_match_whole_messages(spark, small):
     assert got == want
 
 
+def test_blake3_of_members_without_bytes(spark, tmp_path):
+    rows = [(1, "abc"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in registry.QUERIES["member_digest_blake3"](spark, str(tmp_path)).collect()}
+    empty = "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
+    assert got == {1: "6437b3ac38465133ffb63b75273a8db548c558465d79db03fd359c6cd5bd9d85", 2: empty, 3: empty}
+
+
 def test_entry_runs(spark, small):
     assert driver.entry(spark).count() > 0
 
