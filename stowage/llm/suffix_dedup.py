@@ -3,6 +3,10 @@
 Every byte goes that is covered by a 50-byte string which also starts in a document
 with a smaller doc_id. The result is exact.
 
+Equal contexts, by their hashes, settle most of it (2); suffix arrays and the tree (3) see
+only what differs between contexts of an anchor, 84 bytes at most. So the maximal repeats
+of whole texts are removed but not listed as groups with all their occurrences.
+
 1. Winnowing picks anchors: of the 16-byte strings within any 50 bytes, those with the
    smallest hash. So two equal 50-byte strings pick the same anchor at the same place.
    An anchor's context is all that the 50-byte strings which picked it cover, 84 bytes
