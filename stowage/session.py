@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import time
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,10 @@ PACKAGE = os.path.dirname(os.path.abspath(__file__))
 _shipped: set[str] = set()
 _own_shared: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+#: Bytes of a batch that goes to a Python worker, and of a row group of an intermediate table.
+BATCH_BYTES, ROW_GROUP = 8 * 2**20, 32 * 2**20
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -33,6 +38,17 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what is on its way between a task and its Python worker by bytes, unless the session has a lower bound.
+
+    The bound by rows alone lets long texts through, some hundred megabytes at once.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once for each application.
 
@@ -40,6 +56,7 @@ def ship(spark: SparkSession) -> None:
     files even where it is not installed on the machines of the cluster.
     """
     sc = spark.sparkContext
+    small_batches(spark)
     if sc.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="stowage-ship-")
@@ -102,16 +119,18 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         _written[app] = []
         atexit.register(_forget, spark, app)
     _written[app].append(path)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _tables[made] = path
+    return made
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that no later plan reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+    """Delete a table that ``materialize`` gave back and that no later plan reads."""
+    path = _tables.pop(df)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written[spark.sparkContext.applicationId].remove(path)
 
 
 def release(spark: SparkSession) -> None:
