@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.llm.components import components
-from stowage.llm.workers import drop
-from stowage.session import discard, materialize, release
+from stowage.llm.workers import texts, tidy
+from stowage.session import discard, materialize, release, small_batches
 
 WORDS = 5
 #: Cells of the counting table, and the pieces in which tasks hand it on.
@@ -86,31 +86,22 @@ def shingles(text: bytes, words: WordHashes, width: int = WORDS) -> np.ndarray:
     return _finish(h)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-
-
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h & _U(CELLS - 1)).astype(np.int64)
 
 
+@tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    drop()
     words, cells, seen = WordHashes(), np.zeros(CELLS, np.uint32), False
-    held: list[np.ndarray] = []
-    size = 0
     for batch in batches:
-        for text in _texts(batch):
-            held.append(shingles(text, words))
-            size += len(held[-1])
+        for text in texts(batch):
+            # In place, so a task holds one document's hashes beside the table.
+            np.add.at(cells, _cell(shingles(text, words)), np.uint32(1))
             seen = True
-            if size > CELLS:
-                cells += np.bincount(_cell(np.concatenate(held)), minlength=CELLS).astype(np.uint32)
-                held, size = [], 0
     if seen:
-        cells += np.bincount(_cell(np.concatenate([*held, np.zeros(0, np.uint64)])), minlength=CELLS).astype(np.uint32)
         parts = np.minimum(cells, 2**16 - 1).astype("<u2").reshape(PIECES, -1)
-        yield pa.record_batch({"piece": pa.array(range(PIECES), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+        for i, part in enumerate(parts):
+            yield pa.record_batch({"piece": pa.array([i], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
 
 
 def _add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +150,12 @@ def describe(docs: DataFrame) -> DataFrame:
     """For each document the size of its set, digests of set and prefix, the minimum hashes, and the prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(commonness(docs))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop()
         words, common = WordHashes(), shared.value
         for batch in batches:
             rows = []
-            for text in _texts(batch):
+            for text in texts(batch):
                 s = np.unique(shingles(text, words))
                 n = len(s)
                 if not n:
@@ -183,6 +174,7 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _MADE)
 
 
+@tidy
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
@@ -194,6 +186,7 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
+@tidy
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows ``key, rank, id, label, sign`` in order: each with the one before it and with the first of its key here.
 
@@ -238,13 +231,14 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, "x long, y long").distinct()
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    drop()
     words = WordHashes()
     for batch in batches:
-        yield pa.record_batch({"id": batch.column(0), "members": pa.array([np.unique(shingles(t, words)).tobytes() for t in _texts(batch)], pa.binary())})
+        yield pa.record_batch({"id": batch.column(0), "members": pa.array([np.unique(shingles(t, words)).tobytes() for t in texts(batch)], pa.binary())})
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -289,6 +283,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents as ``doc_id, n, cid`` (the smallest doc_id with the same set) and ``node, component`` of linked cids."""
     spark = docs.sparkSession
+    small_batches(spark)
     made = materialize(describe(docs), "described", "uncompressed")
     full = made.filter("n > 0 AND doc_id IS NOT NULL")
     least = F.min(F.struct("doc_id", "n", "p1", "p2", "low", "bits", "prefix")).alias("first")
