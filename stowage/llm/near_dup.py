@@ -11,8 +11,9 @@ when their sets' Jaccard similarity is at least 0.75; the result is exact.
    prefixes into a group. Only one prefix of each group is posted, and only shingles
    posted by two groups or more go on.
 3. Pairs that are likely to link are verified first: neighbours by one of four minimum
-   hashes that agree in another, then, among the same documents, neighbours in posting
-   lists in random order that are not connected yet. They give components.
+   hashes that agree in another, then, among the same documents and at last among all,
+   neighbours in posting lists in random order that are not connected yet. They give
+   components.
 4. Then come all pairs of groups that share a prefix shingle and are not connected yet.
    Posting lists name, for each group, the larger components it meets there. A component
    of one group makes a pair, which the number of shared shingles, a bound of the
@@ -188,7 +189,7 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @tidy
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows ``key, rank, id, label, sign`` in order: each with the one before it and with the first of its key here.
+    """Of rows ``key, rank, id, label, sign`` in order: each with the one before it or else with the first of its key here.
 
     Both must have different labels and agree in two of the four 16-bit lanes of their signs.
     """
@@ -213,7 +214,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last is not None and same[0]:
             hubs = [np.where(first == 0, x, column) for x, column in zip(hub, hubs, strict=True)]
         near = np.flatnonzero(same & (label[1:] != label[:-1]) & alike(sign[1:], sign[:-1]))
-        far = np.flatnonzero((hubs[1] != label) & alike(hubs[2], sign))
+        paired = np.zeros(len(key), bool)
+        paired[near + 1] = True
+        far = np.flatnonzero(~paired & (hubs[1] != label) & alike(hubs[2], sign))
         out = {*zip(node[near].tolist(), node[near + 1].tolist(), strict=True), *zip(hubs[0][far].tolist(), node[far].tolist(), strict=True)}
         hub = tuple(int(column[-1]) for column in hubs)
         last = (int(key[-1]), int(node[-1]), int(label[-1]), int(sign[-1]))
@@ -333,13 +336,25 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def merged(found: DataFrame, links: DataFrame) -> DataFrame:
         return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(links))
 
-    for turn in range(NEIGHBOUR_ROUNDS):
-        tagged = shared.filter(F.pmod("token", F.lit(PARTS)) == turn).join(by_group(labelled(found)).drop("mixed"), "gid")
+    def unconnected(posted: DataFrame, found: DataFrame) -> DataFrame:
+        # Neighbours in posting lists ``token, gid, sign`` in random order that no component has together yet.
+        tagged = posted.join(by_group(labelled(found)).drop("mixed"), "gid")
         near = neighbours(tagged.select(F.col("token").alias("key"), F.xxhash64("gid", "token").alias("rank"), F.col("gid").alias("id"), "label", "sign"))
-        found = merged(found, verify(possible(near, groups), sets))
+        return possible(near, groups)
+
+    for turn in range(NEIGHBOUR_ROUNDS):
+        found = merged(found, verify(unconnected(shared.filter(F.pmod("token", F.lit(PARTS)) == turn), found), sets))
         release(spark)
     discard(spark, sets)
     discard(spark, shared)
+    # Once among all groups: one that was no suspect may link to a few of a large component only, and would meet every member below.
+    every = lists.join(groups.filter("cid = gid").select("gid", "sign"), "gid")
+    likely = materialize(unconnected(every, found), "pairs")
+    sets = sets_of(likely, docs)
+    found = merged(found, verify(likely, sets))
+    discard(spark, likely)
+    discard(spark, sets)
+    release(spark)
 
     named = materialize(labelled(found), "labels")
     # A group of several classes, whose sets differ, has no bits.
