@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stowage.llm.labelled import held_out, training_rows
+from stowage.llm.workers import texts, tidy
+from stowage.session import small_batches
 
 THRESHOLD = 0.3
 FEATURES = (
@@ -182,14 +184,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [text_features(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        rows = [text_features(t) for t in texts(batch, 1)]
         yield pa.record_batch({"doc_id": batch.column(0), "y": batch.column(2), "x": pa.array(rows, pa.list_(pa.float64()))})
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Additive:
     """A model from the labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     rows = training_rows(docs, labels, label).mapInArrow(_features, "doc_id long, y double, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.y, r.x))
     return fit(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows]))
@@ -199,11 +203,13 @@ def score(docs: DataFrame, model: Additive, column: str = "score") -> DataFrame:
     """The rows of ``docs`` with a score; a column of that name is replaced."""
     docs = docs.drop(column)
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([text_features(t) for t in texts(batch, at)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(x))], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

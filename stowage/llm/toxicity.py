@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stowage.llm.labelled import held_out, training_rows
-from stowage.session import materialize
+from stowage.llm.workers import texts, tidy
+from stowage.session import materialize, small_batches
 
 THRESHOLD = 0.5
 LEXICON = 1_000
@@ -39,7 +40,7 @@ NEAR = 4
 SECOND_PERSON = frozenset("you your yours yourself u du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes".split())
 FEATURES = ("density", "strong", "strongest", "hits", "weight", "near_you", "you", "capitals", "shouted", "exclaim", "question", "marks", "obfuscated", "words")
 LEAVES_DEEP, TREES, RATE, DAMP, BINS = 3, 120, 0.1, 2.0, 32
-#: Words whose weights a worker keeps.
+#: Words whose weights a task keeps from one document to the next.
 KEPT_WORDS = 300_000
 
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -70,11 +71,14 @@ class _Weights(dict):
         self.hidden: set[bytes] = set()
         self.person: set[bytes] = set()
 
-    def __missing__(self, raw: bytes) -> float:
+    def bound(self) -> None:
+        """Forget the words if they are many. Between documents only: a document's words are looked up twice."""
         if len(self) > KEPT_WORDS:
             self.clear()
             self.hidden.clear()
             self.person.clear()
+
+    def __missing__(self, raw: bytes) -> float:
         word, hidden = plain(raw.decode("utf-8", "replace"))
         value = max((self.lexicon.get(t, 0.0) for t in terms(word)), default=0.0) if word else 0.0
         if hidden:
@@ -89,6 +93,7 @@ def text_features(text: bytes, weights: _Weights) -> list[float]:
     words = text.split()
     if not words:
         return [0.0] * len(FEATURES)
+    weights.bound()
     n = len(words)
     w = np.fromiter(map(weights.__getitem__, words), np.float64, n)
     hits = np.flatnonzero(w)
@@ -200,6 +205,7 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def lexicon_of(rows: DataFrame) -> dict[str, float]:
     """Weights of the terms of ``text, y`` that mark toxic texts, LEXICON at most."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, bool], list[int]] = {}
         for batch in batches:
@@ -235,10 +241,11 @@ def lexicon_of(rows: DataFrame) -> dict[str, float]:
 
 
 def _vectors(lexicon: dict[str, float]):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(lexicon)
         for batch in batches:
-            rows = [text_features(t or b"", weights) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [text_features(t, weights) for t in texts(batch, 1)]
             yield pa.record_batch({"doc_id": batch.column(0), "y": batch.column(2), "x": pa.array(rows, pa.list_(pa.float64()))})
 
     return run
@@ -246,6 +253,7 @@ def _vectors(lexicon: dict[str, float]):
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Boosted:
     """A model from the labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(10))
     rows = materialize(training_rows(docs, labels, label).withColumn("part", part), "labelled")
     lexicon = lexicon_of(rows.filter("part < 5"))
@@ -263,12 +271,14 @@ def score(docs: DataFrame, model: Boosted, column: str = "score") -> DataFrame:
     """The rows of ``docs`` with a score; a column of that name is replaced."""
     docs = docs.drop(column)
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _Weights(shared.value.lexicon)
         for batch in batches:
-            x = np.array([text_features(t or b"", weights) for t in batch.column(at).cast(pa.binary()).to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.array([text_features(t, weights) for t in texts(batch, at)]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.scores(x))], names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

@@ -70,3 +70,27 @@ def test_pair_interactions_are_found():
     model = quality.fit(x, y)
     assert (1, 0) in {(i, j) for i, j, _ in model.pairs}
     assert auc(model.scores(x), y) > 0.95
+
+
+def test_scores_do_not_depend_on_kept_words(spark, documents, labels, monkeypatch):
+    model = toxicity.train(documents, labels)
+    some = [("you idiot fine day then",), ("you stupid fool, you worthless idiot " * 3,), (" ".join(f"w{i}" for i in range(50)) + " you idiot",)]
+    rows = spark.createDataFrame([(i, t) for i, (t,) in enumerate(some * 2)], "doc_id long, text string")
+    usual = {r.doc_id: r.score for r in toxicity.score(rows, model).collect()}
+    lexicon = {"idiot": 5.0, "fool": 3.0}
+    vectors = [toxicity.text_features(t.encode(), toxicity._Weights(lexicon)) for (t,) in some]
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 3)
+    weights = toxicity._Weights(lexicon)
+    assert [toxicity.text_features(t.encode(), weights) for (t,) in some] == vectors
+    assert vectors[0][toxicity.FEATURES.index("near_you")] == 0.2
+    for n in (1, 3):
+        assert {r.doc_id: r.score for r in toxicity.score(rows.repartition(n), model).collect()} == usual
+
+
+def test_repeated_ids_keep_the_sample_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(1, None), (2, "b"), (3, None), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 5)], "doc_id long, quality int")
+    inside = {i for i in range(1, 5) if not spark.range(1).select(labelled.held_out(F.lit(i))).first()[0]}
+    rows = {r.doc_id: r.text for r in labelled.training_rows(docs, labels, "quality", 10).collect()}
+    assert rows == {i: t for i, t in {1: "text 0", 2: "b", 3: None, 4: "d"}.items() if i in inside}
+    assert labelled.training_rows(docs, labels, "quality", 2).count() <= 2
