@@ -27,6 +27,7 @@ together; none of them is a candidate of that id.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -37,8 +38,8 @@ K = 5
 EVERY = 50
 #: Doubles hold integers below it; scores of this size or more don't fit the result.
 EXACT, BEYOND = 2.0**53, 2**63 - 1
-#: Shares of the lists that are read before the bounds are looked at.
-DEPTHS = (0.25, 0.5, 0.75)
+#: Shares of the lists that are read before the bounds are looked at: what is left halves, so a first block stops as well.
+DEPTHS = (0.5, 0.75, 0.875, 0.9375)
 #: Reading stops when a query has so many candidates in a block, at most.
 FEW = 64
 #: Pairs whose scores are resolved at once.
@@ -70,8 +71,15 @@ def _scores(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, r: np.ndarray)
     return out
 
 
-def no_random_access(k: int) -> Search:
-    def run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, best: Best) -> None:
+class NoRandomAccess(Search):
+    """``stopped`` counts the queries by the share of a block's lists after which they needed no more."""
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+        self.stopped: Counter[float] = Counter()
+
+    def run(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, codes: list[np.ndarray], best: Best) -> None:
+        k = self.k
         given_queries, given_rows = queries, rows
         with np.errstate(over="ignore"):
             rows, queries = np.floor(256 * rows), np.floor(256 * queries)
@@ -118,15 +126,14 @@ def no_random_access(k: int) -> Search:
                 done = can.sum(axis=1) <= FEW if depth < n else np.ones(len(some), bool)
                 q, r = np.nonzero(can & done[:, None])
                 best.add(some[q], ids[r], _scores(given_queries, given_rows, some[q], r))
+                self.stopped[depth / n] += int(done.sum())
                 left.append(some[~done])
             waiting = np.concatenate(left)
 
-    return run
-
 
 def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score`` for the rows whose vec_id is divisible by ``every``."""
-    found = search(usable(vectors, float("inf")), F.col("vec_id") % every == 0, lambda d: no_random_access(k), k, np.int64)
+    found = search(usable(vectors, float("inf")), F.col("vec_id") % every == 0, lambda d: NoRandomAccess(k), k, np.int64)
     fails = F.raise_error(F.concat(F.lit("a score of vec_id "), F.col("query_id").cast("string"), F.lit(" does not fit 64 bits"))).cast("long")
     return found.withColumn("score", F.when(F.col("score").between(-BEYOND + 1, BEYOND - 1), F.col("score")).otherwise(fails))
 

@@ -139,3 +139,61 @@ def test_all_vectors_of_a_repeated_id_are_searched(spark, monkeypatch):
         monkeypatch.setattr(vectors, "PASS_BYTES", size)
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(table(spark, rows)).collect()) == want
         assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in one_bit.nearest(table(spark, rows)).collect()) == near
+
+
+def blocks(rows, size):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    return ids, x, [slice(a, a + size) for a in range(0, len(rows), size)]
+
+
+def test_reading_stops_before_the_end_in_first_and_later_blocks():
+    from stowage.llm.vectors import Best
+
+    ids, x, parts = blocks(data(2000, 64), 1000)
+    asked = ids % 50 == 0
+    best, nra = Best(int(asked.sum()), 5, np.int64), topk.NoRandomAccess(5)
+    for part in parts:
+        nra.stopped.clear()
+        nra.run(ids[asked], x[asked], ids[part], x[part], [], best)
+        assert sum(n for depth, n in nra.stopped.items() if depth < 1) >= 0.9 * asked.sum()
+
+
+def test_few_pairs_are_reranked():
+    from stowage.llm.vectors import Best
+
+    ids, x, parts = blocks(data(10_000, 64, 5), 2500)
+    asked = ids % 100 == 0
+    search, best = one_bit.OneBit(64, x.mean(axis=0), 10), Best(int(asked.sum()), 10)
+    for part in parts:
+        search.run(ids[asked], x[asked], ids[part], x[part], search.code(x[part]), best)
+    hits = 0
+    for at, i in enumerate(np.flatnonzero(asked)):
+        dist = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        dist[i] = np.inf
+        hits += len(set(best.ident[at].tolist()) & set(ids[np.lexsort((ids, dist))[:10]].tolist()))
+    assert search.looked == asked.sum() * len(ids)
+    assert search.measured <= 0.05 * search.looked and hits >= 0.9 * 10 * asked.sum()
+
+
+def test_products_with_codes_are_near_the_exact_ones():
+    rng = np.random.default_rng(3)
+    turned, signs = rng.normal(size=(7, 128)), rng.normal(size=(50, 128)) >= 0
+    words = np.packbits(signs, axis=1, bitorder="little").view(np.uint64).T
+    planes = one_bit.Planes(turned)
+    got = planes.products(np.ascontiguousarray(words), signs.sum(axis=1))
+    rounded = planes.least[:, None] + planes.step[:, None] * np.rint((turned - planes.least[:, None]) / planes.step[:, None])
+    assert np.allclose(got, rounded @ (2.0 * signs.T - 1))
+
+
+def test_best_lists():
+    from stowage.llm.vectors import Best
+
+    rng = np.random.default_rng(8)
+    best, every = Best(6, 3, np.int64), []
+    for _ in range(20):
+        rows = [(int(q), int(i), int(s)) for q, i, s in zip(rng.integers(0, 5, 4), rng.integers(0, 99, 4), rng.integers(-4, 4, 4), strict=True)]
+        every += rows
+        best.add(*(np.array(c) for c in zip(*rows, strict=True)))
+    want = [(q, i, s) for q in range(6) for s, i in sorted((-s, i) for p, i, s in every if p == q)[:3] for s in [-s]]
+    assert list(zip(*(c.tolist() for c in best.rows()), strict=True)) == want
+    assert best.least().tolist()[5] == -np.inf
