@@ -9,9 +9,12 @@ with the smallest doc_id that holds its key.
 2. The hashes are dealt to shards. Each shard builds a minimal perfect hash over its
    distinct hashes (levels of bit arrays: a hash that is alone at its place in one
    level is settled there, the others go on to the next) and, in its order, arrays of
-   32-bit fingerprints, counts and smallest doc_ids. That is about 17 bytes a line.
-3. Documents send hashes, not lines, to the shards, which answer from the arrays and
-   return only what is to be dropped. Lines that hold more than 1/20,000 of all line
+   32-bit fingerprints and counts, and the smallest doc_ids of the lines that count twice
+   or more. That is about 9 bytes a line, and 8 more for a repeated one. The number of
+   shards follows the number of lines, so that a shard holds SHARD_KEYS of them.
+3. Documents send hashes, not lines, to the shards, which answer from the arrays: a line
+   counted once stays, another goes unless the document is its smallest. Only what is to
+   be dropped comes back. Lines that hold more than 1/20,000 of all line
    occurrences would overload their shard; there are at most 20,000 of them, and the
    documents look these up in a table of that bounded size that every task has.
 4. The documents meet their drops by doc_id and are rewritten.
@@ -19,7 +22,7 @@ with the smallest doc_id that holds its key.
 Cases: a null doc_id ranks after every other and stands for one document; a null text
 is one empty line; rows with the same doc_id are one document; documents keep a row
 when all of their lines go; an empty input gives an empty result. Other columns pass
-through; ``n_lines`` and ``n_dropped`` of the input are replaced.
+through; columns of the input that are named like the two counts are replaced.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from stowage.llm.workers import drop
-from stowage.session import materialize, shuffle_width
+from stowage.llm.workers import texts, tidy
+from stowage.session import discard, materialize, shuffle_width, small_batches
 
 SPACE = b" \t\n\x0b\x0c\r"
 LEAST = 10
 NO_ID = 2**63 - 1
-#: Keys that a task folds before it passes them on.
-FOLD = 200_000
+#: Keys that a task folds before it passes them on, and folded keys in a shard, about.
+FOLD, SHARD_KEYS = 200_000, 250_000
 #: A heavy line holds at least 1/HEAVY_SHARE of all occurrences, and at least HEAVY_LEAST.
 HEAVY_SHARE, HEAVY_LEAST = 20_000, 1_000
 
@@ -108,13 +111,12 @@ def _split(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _rows(batch: pa.RecordBatch, id_col: str, text_col: str) -> Iterator[tuple[int, bytes]]:
     ids = batch.column(batch.schema.get_field_index(id_col)).to_pylist()
-    texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
-    for doc, text in zip(ids, texts, strict=True):
-        yield (NO_ID if doc is None else doc), (text or b"")
+    for doc, text in zip(ids, texts(batch, text_col), strict=True):
+        yield (NO_ID if doc is None else doc), text
 
 
+@tidy
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    drop()
     first: dict[bytes, int] = {}
     count: dict[bytes, int] = {}
 
@@ -151,6 +153,7 @@ def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
     at = probe_index(sizes, words, u1, u2)
     prints, counts, docs = np.empty(len(at), np.uint32), np.empty(len(at), np.uint32), np.empty(len(at), np.int64)
     prints[at], counts[at], docs[at] = (u2 >> _U(32)).astype(np.uint32), np.minimum(n, 2**32 - 1), first
+    docs = docs[counts > 1]
     heavy = [dict(zip(("h1", "h2", "first_doc", "n"), map(int, (h1[i], h2[i], first[i], n[i])), strict=True)) for i in np.flatnonzero(n >= HEAVY_LEAST)]
     return pa.table(
         {
@@ -163,10 +166,19 @@ def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
 
 def index_lines(docs: DataFrame) -> DataFrame:
     """The arrays of all shards over the lines of ``doc_id, text``, one row for each shard."""
-    shards = 4 * shuffle_width(docs.sparkSession)
-    keys = docs.select("doc_id", "text").mapInArrow(_fold, "h1 long, h2 long, first_doc long, n long")
-    keys = keys.withColumn("shard", F.pmod("h1", F.lit(shards)))
-    return materialize(keys.groupBy("shard").applyInArrow(_build_shard, _SHARD), "lines", "uncompressed")
+    return _sharded(docs)[0]
+
+
+def _sharded(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The arrays of all shards, and the number of shards."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    keys = materialize(docs.select("doc_id", "text").mapInArrow(_fold, "h1 long, h2 long, first_doc long, n long"), "keys", "uncompressed")
+    shards = max(4 * shuffle_width(spark), -(-keys.count() // SHARD_KEYS))
+    dealt = keys.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    index = materialize(dealt.groupBy("shard").applyInArrow(_build_shard, _SHARD), "lines", "uncompressed")
+    discard(spark, keys)
+    return index, shards
 
 
 def _heavy_lines(index: DataFrame) -> dict[bytes, int]:
@@ -184,22 +196,23 @@ def _answer(probes: pa.Table, index: pa.Table) -> pa.Table:
     h1, h2, doc = (probes.column(c).to_numpy() for c in ("h1", "h2", "doc"))
     u1, u2 = h1.view(np.uint64), h2.view(np.uint64)
     at = probe_index(row["sizes"], np.frombuffer(row["bits"], np.uint64), u1, u2)
-    prints, first = np.frombuffer(row["fingerprints"], np.uint32), np.frombuffer(row["first_docs"], np.int64)
-    known = at >= 0
-    known[known] = prints[at[known]] == (u2[known] >> _U(32)).astype(np.uint32)
-    gone = known.copy()
-    gone[known] = first[at[known]] < doc[known]
+    prints, counts, first = (np.frombuffer(row[c], t) for c, t in (("fingerprints", np.uint32), ("counts", np.uint32), ("first_docs", np.int64)))
+    gone = at >= 0
+    gone[gone] = prints[at[gone]] == (u2[gone] >> _U(32)).astype(np.uint32)
+    gone[gone] = counts[at[gone]] > 1
+    place = np.cumsum(counts > 1) - 1
+    gone[gone] = first[place[at[gone]]] < doc[gone]
     return pa.table({"doc": doc[gone], "h1": h1[gone]})
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with the repeated lines gone from ``text``, with ``n_lines`` and ``n_dropped``."""
+def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The documents with the repeated lines gone from ``text``, and two counts of ``names``: lines, and lines dropped."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
-    index = index_lines(docs)
-    shards = 4 * shuffle_width(spark)
+    docs = docs.drop(*names)
+    index, shards = _sharded(docs)
     heavy = spark.sparkContext.broadcast(_heavy_lines(index))
 
+    @tidy
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = heavy.value
         for batch in batches:
@@ -218,8 +231,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     drops = asked.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_answer, "doc long, h1 long")
     drops = drops.distinct().groupBy("doc").agg(F.collect_list("h1").alias("__line_drops")).withColumnRenamed("doc", "__line_doc")
     columns = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
+    @tidy
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = heavy.value
         for batch in batches:
@@ -236,7 +250,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(stay))
             cols = [pa.array(kept, pa.binary()).cast(pa.string()) if c == "text" else batch.column(i) for i, c in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, *names])
 
     mine = docs.withColumn("__line_doc", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
     return mine.join(drops, "__line_doc", "left").select(*columns, "__line_drops").mapInArrow(rewrite, schema)
