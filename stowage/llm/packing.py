@@ -19,6 +19,7 @@ columns of the input are not returned.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,16 +30,26 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stowage.llm.workers import kept
-from stowage.session import materialize
+from stowage.llm.workers import give_back, kept, tidy
+from stowage.session import materialize, shuffle_width, small_batches
 
 LENGTH = 2048
 CLOSING = 1
 HASHED, DIMS, BITS = 256, 3, 10
 #: Words whose ids a worker keeps, and the longest of them in bytes.
-KEPT_WORDS, KEPT_BYTES = 600_000, 64
-#: Documents whose vectors are made at once.
-AT_ONCE = 1024
+KEPT_WORDS, KEPT_BYTES = 150_000, 64
+#: Documents whose vectors are made at once, documents laid at once, and bytes of ids in a range, about.
+AT_ONCE, LAID, RANGE_BYTES = 1024, 256, 64 * 2**20
+
+# The parts of a tokenizers file that encoding by words relies on.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+SUFFIX = "</w>"
 
 #: Bytes of a text of Latin letters, digits, full stops and commas, and what must not be in it besides.
 _PLAIN = b"abcdefghijklmnopqrstuvwxyz0123456789., \t\n\r\xc3" + bytes(range(0x80, 0xC0))
@@ -58,9 +69,10 @@ def _parts(text: bytes) -> list[bytes]:
 class WordEncoder:
     """Ids of texts by way of their words.
 
-    The tokenizer's own pattern never joins characters across white space, nor a letter
-    with a mark after it, so a text's ids are the ids of such parts in order; each part
-    is encoded once and then kept, in two generations of bounded size.
+    Where the tokenizer's own pattern never joins characters across white space, nor a
+    letter with a mark after it, a text's ids are the ids of such parts in order; each part
+    is encoded once and then kept, in two generations of bounded size. A tokenizer of
+    another make gets whole texts.
     """
 
     def __init__(self, model: str) -> None:
@@ -68,10 +80,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
+        made = json.loads(model)
+        self.by_words = all(made[part] == known for part, known in BY_WORDS.items()) and made["model"].get("end_of_word_suffix") == SUFFIX
         vocabulary = self.model.get_vocab(True)
-        self.width = np.dtype("<u2" if len(vocabulary) <= 2**16 else "<u4")
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        most = max(vocabulary.values())
+        self.width = np.dtype("<u2" if most < 2**16 else "<u4")
+        self.ends = np.zeros(most + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith(SUFFIX)]] = True
         self.kept: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -100,6 +115,8 @@ class WordEncoder:
         return found
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return self._alone([t.decode("utf-8", "replace") for t in texts])
         # A special token's string is special only as it stands: such texts are not lowered.
         split = [_parts(t if b"<|" in t else t.lower()) for t in texts]
         # The words of these texts get a table of their own, which the processor's caches hold.
@@ -159,10 +176,15 @@ def curve_keys(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def tokenize(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n, key, ids`` of documents; ids are little-endian, two bytes where the vocabulary allows."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept(shared.value, lambda: WordEncoder(shared.value))
+        yield from encoded(encoder, batches)
+        give_back()
+
+    def encoded(encoder: WordEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         closing = np.array([CLOSING], encoder.width).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, AT_ONCE):
@@ -222,15 +244,18 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
         model = f.read()
     tokens = tokenize(docs, model).withColumn("row", F.monotonically_increasing_id())
     tokens = materialize(tokens, "tokens", "snappy")
+    spark = docs.sparkSession
+    ranges = max(shuffle_width(spark), -(-2 * (tokens.agg(F.sum("n")).first()[0] or 0) // RANGE_BYTES))
 
+    @tidy
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_id = TaskContext.get().partitionId() << 32
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                for i in range(batch.num_rows):
-                    doc, n, ids = (batch.column(c)[i].as_py() for c in range(3))
-                    yield doc, n, np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+                for at in range(0, batch.num_rows, LAID):
+                    for doc, n, ids in zip(*(column.to_pylist() for column in batch.slice(at, LAID).columns), strict=True):
+                        yield doc, n, np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
         out: list[tuple] = []
         for piece in _pieces(length, rows(), first_id):
@@ -255,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, with_ids: bool =
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     order = ["key", "doc_id", "row"]
-    return tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(lay, schema)
+    return tokens.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids").mapInArrow(lay, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -73,3 +74,16 @@ def test_hilbert_curve_visits_neighbours():
 def test_bad_length(documents):
     with pytest.raises(ValueError):
         packing.pack(documents, PATH, 100)
+
+
+def test_other_tokenizers_get_whole_texts():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        made = json.load(f)
+    assert packing.WordEncoder(json.dumps(made)).by_words
+    made["normalizer"]["normalizers"].pop()
+    other = json.dumps(made)
+    encoder = packing.WordEncoder(other)
+    texts = ["Some Words, and MORE.", "", "it's 3.14"]
+    assert not encoder.by_words
+    plain = Tokenizer.from_str(other)
+    assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.ids([t.encode() for t in texts])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
