@@ -3,6 +3,11 @@
 Each stage takes the documents that the stage before it kept and returns documents of
 the same columns; the last returns pieces of sequences. Stages are written between, so
 each can be run again by itself after a failure.
+
+Cases: every stage takes null and empty texts, null and repeated doc_ids, and an empty
+table, for which it returns an empty one. But for near duplicates, which its function
+describes, rows of one doc_id are rows by themselves. Columns besides the text and its number of
+characters pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +29,23 @@ def _like(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on labelled ones among them, does not reject."""
+    """Documents that the quality classifier, fitted on labelled ones among them, does not reject.
+
+    Null and empty texts are scored like any other. Without labels of both kinds the score is
+    their share of 1, or 0.5 without any, so all documents stay or all go.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score(docs, model, "__quality")
     return scored.filter(F.col("__quality") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each line only in the first that holds it."""
-    return _like(line_dedup.dedup_lines(docs), docs)
+    """All documents, each line only in the first that holds it.
+
+    A null text becomes an empty one. Lines of rows with the same doc_id, or without one, don't repeat
+    each other: a line goes only where a smaller doc_id holds it.
+    """
+    return _like(line_dedup.dedup_lines(docs, ("__lines", "__lines_dropped")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +72,15 @@ def _first_of_groups(docs: DataFrame, key: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, repeated as often as it takes them."""
+    """The documents that the mix takes, repeated as often as it takes them.
+
+    Documents without words take no share and are not in the mix; a null source is one too.
+    """
     return _like(mixing.apply_mix(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of token ids."""
+    """Pieces of the documents in sequences of token ids; a document without text has its closing id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -5,30 +5,32 @@ the mix takes rows; a source's budget is taken in whole epochs and then a part o
 cut where the prefix sum of sizes reaches the budget, inside a row if need be, so the
 words taken are the budget exactly.
 
-The prefix sums are distributed. The leading digits of the key cut each source into
-4,096 ranges; sizes are summed by source and range, a window over these sums gives
-each range its start, and the rows of one range are summed from there. No task sees
-more than one range of one source, so a source with a third of all rows is no hot spot.
-Targets come from a window over the table of sources.
+The rows are range-sorted by source, key, doc_id, size, text and row, and the prefix sums
+are distributed: ranges are summed on their own, and their totals, one for each range,
+give every range its start. No two rows are equal in that order, so neither a source with a
+third of all rows nor a third of rows without a doc_id is a hot spot. Targets come from
+windows over the table of sources.
 
 Cases: a null source is a source of its own, the last in order; a null or empty text
-has size 0 and takes nothing; sources whose sizes are all 0 have target 0; equal rows
-share one key and are ordered by size, rows that agree in both are interchangeable;
-an empty input gives an empty result.
+has size 0 and takes nothing; sources whose sizes are all 0 have target 0; rows of one
+doc_id, and all without one, share a key and are ordered by size and a hash of the text,
+rows that agree in these are interchangeable; an empty input gives an empty result.
+Columns that are named as the plan's replace those of the input in the plan only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from stowage.operators import order
 from stowage.session import materialize
 
 #: A source is used at most so many times.
 EPOCHS = 3
 #: Weights by the place of the source in code point order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Leading hexadecimal digits of the key that make a range.
-RANGE_DIGITS = 3
+#: Bytes of the table of sources up to which every task has a copy.
+SOURCES_BYTES = 8 * 2**20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -42,7 +44,7 @@ def _source_key(source: Column) -> Column:
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """``source_key, source_size`` with ``target``, by water filling.
+    """``source_key, source_size`` with ``target``, by water filling, and ``source_start``, the size of the sources before.
 
     A source is full when its share by weight, among those not yet full, is above
     EPOCHS times its size. In the order of size by weight the full sources come first,
@@ -64,37 +66,43 @@ def targets(sizes: DataFrame) -> DataFrame:
     rest_size = F.col("all_size") - F.coalesce(F.sum(F.when(F.col("full"), cap)).over(whole), F.lit(0))
     rest_weight = F.col("all_weight") - F.coalesce(F.sum(F.when(F.col("full"), F.col("weight"))).over(whole), F.lit(0))
     share = F.try_divide((F.col("weight") * rest_size).cast("double"), rest_weight.cast("double"))
-    return ordered.select("source_key", "source_size", F.when(F.col("full"), cap.cast("double")).otherwise(share).alias("target"))
+    ahead = F.sum("source_size").over(Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, -1))
+    return ordered.select(
+        "source_key", "source_size", F.when(F.col("full"), cap.cast("double")).otherwise(share).alias("target"),
+        F.coalesce(ahead, F.lit(0)).alias("source_start"),
+    )
 
 
-def plan_mix(docs: DataFrame) -> DataFrame:
-    """``doc_id, source_key, size, key, source_size, target, taken`` for every row of documents."""
+def _sized(docs: DataFrame) -> DataFrame:
+    """What a plan needs of documents, which have a row number in ``row``."""
+    return docs.select("row", "doc_id", _source_key(F.col("source")).alias("source_key"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("content"))
+
+
+def _planned(rows: DataFrame) -> DataFrame:
+    """The plan of ``row, doc_id, source_key, size, content``; it has ``row`` too."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = materialize(
-        docs.select("doc_id", _source_key(F.col("source")).alias("source_key"), words_in(F.col("text")).alias("size")), "mix"
-    ).withColumn("key", key)
-    rows = rows.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
-    ranges = rows.groupBy("source_key", "range").agg(F.sum("size").alias("range_size"))
-    goals = targets(ranges.groupBy("source_key").agg(F.sum("range_size").alias("source_size")))
-    earlier = Window.partitionBy("source_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    ranges = ranges.join(goals, "source_key").drop("range_size")
-    within = (
-        Window.partitionBy("source_key", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    start = F.col("range_start") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    goals = materialize(targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "targets")
+    held = goals.agg(F.sum(F.octet_length("source_key") + 64)).first()[0] or 0
+    by = [F.col(c) for c in ("source_key", "key", "doc_id", "size", "content", "row")]
+    placed = order.number(rows.withColumn("key", key), by, "place", {"before": "size"})
+    placed = placed.join(F.broadcast(goals) if held <= SOURCES_BYTES else goals, "source_key")
+    start = F.col("before") - F.col("source_start")
     budget = F.floor("target").cast("long")
     epochs = F.coalesce(F.try_divide(budget - budget % F.greatest(F.col("source_size"), F.lit(1)), F.col("source_size")), F.lit(0)).cast("long")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - F.col("start")))
+    part = F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("epochs") * F.col("source_size") - start))
     return (
-        rows.join(ranges, ["source_key", "range"])
-        .withColumn("start", start)
-        .withColumn("epochs", epochs)
+        placed.withColumn("epochs", epochs)
         .withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-        .select("doc_id", "source_key", "size", "key", "source_size", "target", "epochs", "taken")
+        .select("row", "doc_id", "source_key", "size", "key", "source_size", "target", "epochs", "taken")
     )
 
 
+def plan_mix(docs: DataFrame) -> DataFrame:
+    """``doc_id, source_key, size, key, source_size, target, epochs, taken`` for every row of documents."""
+    rows = materialize(_sized(docs.select("doc_id", "source", "text").withColumn("row", F.monotonically_increasing_id())), "mix")
+    return _planned(rows).drop("row")
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     pieces = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
@@ -105,30 +113,19 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     """The rows that the mix takes, with the columns of ``docs``.
 
     A row stands once for each whole time that it is taken; the row that a budget's
-    end cuts stands once more with the words up to the cut. Rows of one doc_id and
-    size that differ otherwise share their copies' number, the smaller one first.
+    end cuts stands once more with the words up to the cut. Of rows that agree in source,
+    doc_id and text any may be the one that is cut.
     """
-    plan = plan_mix(docs)
-    tie = ["__mix_id", "__mix_source", "__mix_size"]
-    order = Window.partitionBy(*tie).orderBy(F.desc("__mix_taken"))
-    plan = plan.select(
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__mix_id"), F.col("source_key").alias("__mix_source"),
-        F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"),
-    ).withColumn("__mix_place", F.row_number().over(order))
-    mine = docs.withColumns({
-        "__mix_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-        "__mix_source": _source_key(F.col("source")),
-        "__mix_size": words_in(F.col("text")),
-    })
-    mine = mine.withColumn("__mix_place", F.row_number().over(Window.partitionBy(*tie).orderBy("text")))
-    size, taken = F.col("__mix_size"), F.col("__mix_taken")
-    whole = F.coalesce(F.try_divide(taken - taken % F.greatest(size, F.lit(1)), size), F.lit(0)).cast("int")
-    joined = mine.join(plan.filter("__mix_taken > 0"), [*tie, "__mix_place"])
-    copies = joined.withColumn("__mix_left", F.explode(
+    numbered = materialize(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc")).withColumn("row", F.monotonically_increasing_id()), "mixed")
+    rows = materialize(_sized(numbered.select("row", "doc.doc_id", "doc.source", "doc.text")), "mix")
+    plan = _planned(rows).filter("taken > 0").select("row", "size", "taken")
+    size, taken = F.col("size"), F.col("taken")
+    whole = F.try_divide(taken - taken % size, size).cast("int")
+    copies = numbered.join(plan, "row").withColumn("left", F.explode(
         F.concat(F.array_repeat(size, whole), F.when(taken % size > 0, F.array(taken % size)).otherwise(F.array().cast("array<bigint>")))
     ))
-    text = F.when(F.col("__mix_left") == size, F.col("text")).otherwise(first_words(F.col("text"), F.col("__mix_left")))
-    return copies.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.col("left") == size, F.col("doc.text")).otherwise(first_words(F.col("doc.text"), F.col("left")))
+    return copies.select(*[text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,17 @@ def test_first_words(spark):
 
     row = spark.createDataFrame([(" a  b\nc ",)], "t string").select(*[mixing.first_words(F.col("t"), F.lit(n)).alias(f"w{n}") for n in (1, 2, 3)]).first()
     assert tuple(row) == (" a", " a  b", " a  b\nc")
+
+
+def test_a_third_without_ids_spreads(spark):
+    rows = [(None if i % 3 else i, "hot" if i % 2 else "cold", " ".join(["w"] * (i % 7))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    check(df)
+    runs = [sorted((str(r.doc_id), r.source, r.text) for r in mixing.apply_mix(df.repartition(n)).collect()) for n in (2, 5)]
+    assert runs[0] == runs[1]
+
+
+def test_sources_that_do_not_fit_every_task(spark, documents, monkeypatch):
+    usual = sorted(map(tuple, mixing.plan_mix(documents).collect()))
+    monkeypatch.setattr(mixing, "SOURCES_BYTES", 0)
+    assert sorted(map(tuple, mixing.plan_mix(documents).collect())) == usual

@@ -52,3 +52,9 @@ def test_repeated_ids_are_judged_by_row(spark, small):
     want = sorted([(5, c, "x"), (5, b, "y"), (5, "", "x"), (3, a, "x"), (8, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")], key=str)
     for n in (1, 4):
         assert sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, table.repartition(n), small).collect()), key=str) == want
+
+
+def test_counts_of_the_caller_stay(spark, small):
+    table = spark.createDataFrame([(1, "a line that is long\nb", 99, "x"), (2, "a line that is long\nc", 98, "y")], "doc_id long, text string, n_lines long, n_dropped string")
+    got = sorted(map(tuple, corpus_pipeline.drop_lines(spark, table, small).collect()))
+    assert got == [(1, "a line that is long\nb", 99, "x"), (2, "c", 98, "y")]
