@@ -39,8 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql import Window
 
-from stowage.llm.workers import drop
-from stowage.session import discard, materialize, release
+from stowage.llm.workers import texts, tidy
+from stowage.session import discard, materialize, release, small_batches
 
 LEAST = 50
 GRAM = 16
@@ -150,10 +150,6 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
     return grams[at], first, last - first, context, left, right
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-
-
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a sorted table's rows differ from the row before."""
     new = np.ones(len(columns[0]), bool)
@@ -163,9 +159,9 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+@tidy
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of ``doc, part, text``, each with its context packed in x."""
-    drop()
     held: list[tuple[np.ndarray, ...]] = []
     count = 0
 
@@ -181,7 +177,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch({"a": a, "c": c, "doc": doc, "part": part, "x": x.view(np.int64)})
 
     for batch in batches:
-        for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), strict=True):
+        for doc, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), strict=True):
             if len(text) < LEAST:
                 continue
             a, first, more, c, left, right = anchors(text)
@@ -196,6 +192,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+@tidy
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted anchor rows: those that are gone, and the first document's rows of contexts of anchors with several."""
     last: tuple[int, int, int] | None = None  # anchor, context, smallest doc
@@ -235,11 +232,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (int(a[-1]), int(c[-1]), int(smallest[-1]))
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The contexts that ``doc, part, text, wanted`` asks for, as ``a, crowd, doc, part, start, context``."""
     for batch in batches:
         out: list[tuple] = []
-        for doc, part, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch), batch.column(3).to_pylist(), strict=True):
+        for doc, part, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch), batch.column(3).to_pylist(), strict=True):
             for w in wanted:
                 out.append((w["a"], w["crowd"], doc, part, w["begin"], text[w["begin"] : w["end"]]))
         if out:
@@ -318,6 +316,7 @@ def _repeats(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return array.row[found], array.column[found], best[found]
 
 
+@tidy
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans to remove, of contexts in the order of their anchors."""
     held: list[pa.RecordBatch] = []
@@ -350,6 +349,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(held)
 
 
+@tidy
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The 50-byte strings of contexts, as hashes."""
     for batch in batches:
@@ -365,6 +365,7 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans(rows: DataFrame) -> DataFrame:
     """``doc, part, spans`` (arrays of begin and end) of rows ``doc, part, text``; spans may overlap or pass the ends."""
     spark = rows.sparkSession
+    small_batches(spark)
     found = rows.mapInArrow(_find, _ROW).repartition("a").sortWithinPartitions("a", "c", "doc")
     met = materialize(found.mapInArrow(_meet, _ROW + ", gone boolean"), "met")
     release(spark)
@@ -406,11 +407,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = spans(rows).withColumnsRenamed({"doc": "__doc", "part": "__part", "spans": "__spans"})
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_bytes, n_removed, n_spans, kept = [], [], [], []
             column = batch.column(batch.num_columns - 1)
-            for i, text in enumerate(_texts(batch)):
+            for i, text in enumerate(texts(batch)):
                 size, removed, count, stay = len(text), 0, 0, text
                 if column[i].is_valid:
                     items = column[i].values
