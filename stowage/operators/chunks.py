@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stowage.functions import blake3
 from stowage.functions.binary import CHUNK, HEADER, expected_chunks, expected_length
+from stowage.operators import order
 
 HASHERS = {"sha256": hashlib.sha256, "blake3": blake3.Hasher}
 
@@ -75,17 +76,19 @@ def ranges(members: DataFrame) -> DataFrame:
     return full.select("pos", F.col("data_offset").alias("start"), (F.col("data_offset") + F.col("size_compressed")).alias("end"))
 
 
-def overlaps(members: DataFrame) -> DataFrame:
-    """Ranges that start before the one before them ends, in the order (start, larger end first)."""
-    order = Window.orderBy("start", F.desc("end"), "pos")
-    return ranges(members).withColumn("last_end", F.lag("end").over(order)).filter("start < last_end")
+def consecutive(members: DataFrame) -> DataFrame:
+    """The ranges in the order (start, larger end first), each with the ``last_end`` of the one before it."""
+    return order.before(ranges(members), [F.col("start"), -F.col("end"), F.col("pos")], "end", "last_end")
 
 
-def gaps(members: DataFrame, index_offset: int | None = None) -> DataFrame:
-    """Places where the body does not go on: ``pos, expected, start``; the end is a row without a pos."""
-    order = Window.orderBy("start", F.desc("end"), "pos")
-    rows = ranges(members)
-    found = rows.withColumn("expected", F.coalesce(F.lag("end").over(order), F.lit(HEADER).cast("long"))).select("pos", "expected", "start")
+def overlaps(rows: DataFrame) -> DataFrame:
+    """Of ``consecutive`` ranges those that start before the one before them ends."""
+    return rows.filter("start < last_end")
+
+
+def gaps(rows: DataFrame, index_offset: int | None = None) -> DataFrame:
+    """Places where the body of ``consecutive`` ranges does not go on: ``pos, expected, start``; the end is a row without a pos."""
+    found = rows.select("pos", F.coalesce("last_end", F.lit(HEADER).cast("long")).alias("expected"), "start")
     if index_offset is not None:
         end = rows.agg(F.coalesce(F.max("end"), F.lit(HEADER).cast("long")).alias("expected"))
         found = found.union(end.select(F.lit(None).cast("long").alias("pos"), "expected", F.lit(index_offset).cast("long").alias("start")))

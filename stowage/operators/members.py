@@ -58,26 +58,32 @@ def duplicates(members: DataFrame) -> DataFrame:
 
 
 def missing_ancestors(members: DataFrame) -> DataFrame:
-    """``pos, ancestor, reason`` for folders above members that are missing, come after, or are no folders."""
-    wanted = members.select("pos", F.explode(paths.ancestors(F.col("path"))).alias("ancestor"))
+    """``pos, ancestor, reason`` for folders above members that are missing, come after, or are no folders.
+
+    Folders are judged once each, by the first member below them; only those that fail
+    meet the members again. So a folder that is as it should be is no hot key.
+    """
+    below = members.select("pos", F.explode(paths.ancestors(F.col("path"))).alias("ancestor"))
+    wanted = below.groupBy("ancestor").agg(F.min("pos").alias("first_pos"))
     first = members.groupBy(F.col("path").alias("ancestor")).agg(F.min(F.struct("pos", "type")).alias("up"))
-    joined = wanted.join(first, "ancestor", "left")
+    bad = wanted.join(first, "ancestor", "left").filter(F.col("up").isNull() | (F.col("up.type") != FOLDER) | (F.col("up.pos") >= F.col("first_pos")))
     reason = F.when(F.col("up").isNull(), "missing").when(F.col("up.pos") >= F.col("pos"), "after child").when(F.col("up.type") != FOLDER, "not a directory")
-    return joined.select("pos", "ancestor", reason.alias("reason")).filter("reason IS NOT NULL")
+    return below.join(bad.select("ancestor", "up"), "ancestor").select("pos", "ancestor", reason.alias("reason")).filter("reason IS NOT NULL")
 
 
 def errors(members: DataFrame, index_offset: int, chunk: int = CHUNK, empty_digest: bytes | None = None) -> DataFrame:
     """All broken rules: ``stage, pos, code``."""
     code = entry_code(F.lit(index_offset), chunk)
     targets = hardlink_targets(members)
+    body = chunks.consecutive(members)
     found = [
         _error(members.withColumn("code", code).filter("code IS NOT NULL"), 6, F.col("code")),
         _error(targets.filter("target_pos IS NULL"), 7),
         _error(duplicates(members), 8),
         _error(missing_ancestors(members), 9),
-        _error(chunks.overlaps(members), 13),
+        _error(chunks.overlaps(body), 13),
         _error(targets.filter((F.col("target_pos").isNotNull()) & (F.col("target_type") != FILE)), 14),
-        _error(chunks.gaps(members, index_offset), 15),
+        _error(chunks.gaps(body, index_offset), 15),
     ]
     if empty_digest is not None:
         found.append(_error(members.filter(without_data() & (F.col("hash") != F.lit(empty_digest))), 16, "HASH_MEMBER"))

@@ -375,7 +375,7 @@ _RANGES = "r AS (SELECT pos, data_offset AS start, data_offset + size_compressed
 
 @query(f"{MEMBERS}, {_RANGES}, o AS (SELECT *, lag(\"end\") OVER (ORDER BY start, \"end\" DESC, pos) AS last_end FROM r) SELECT * FROM o WHERE start < last_end")
 def overlapping_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.overlaps(manifest.members(spark, sf_dir))
+    return chunks.overlaps(chunks.consecutive(manifest.members(spark, sf_dir)))
 
 
 _GAPS = f"""{_RANGES}, g AS (
@@ -385,7 +385,7 @@ _GAPS = f"""{_RANGES}, g AS (
 
 @query(f"{MEMBERS}, {_GAPS} SELECT * FROM g WHERE start <> expected")
 def body_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.gaps(manifest.members(spark, sf_dir), END)
+    return chunks.gaps(chunks.consecutive(manifest.members(spark, sf_dir)), END)
 
 
 _ERRORS = f"""{_ENTRY_SQL}, first AS (SELECT path, min(struct_pack(pos := pos, type := type)) AS t FROM members GROUP BY path),
