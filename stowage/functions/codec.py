@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from stowage.functions.inflate_strict import long_form_258
+from stowage.functions.inflate_strict import long_form_258, may_hold_258
 
 FLUSH = {"none": zlib.Z_NO_FLUSH, "sync": zlib.Z_SYNC_FLUSH, "finish": zlib.Z_FINISH}
 DECODED = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("used", T.LongType()), T.StructField("code", T.StringType())])
@@ -29,11 +29,22 @@ def stored(data: bytes) -> bytes:
     return b"".join(out)
 
 
+def _header(window_bits: int, flags: int) -> bytes:
+    """The two bytes of a zlib header; ``flags`` are its three upper bits."""
+    first = (window_bits - 8) << 4 | 8
+    return bytes([first, flags << 5 | -(first << 8 | flags << 5) % 31])
+
+
 def encode(data: bytes, level: int = 6, window_bits: int = 15, wrapped: bool = False, dictionary: bytes = b"") -> bytes:
-    """One value as raw Deflate, or in the zlib wrapping."""
+    """One value as raw Deflate, or in the zlib wrapping.
+
+    With 8 window bits zlib takes 9, but then looks back 250 bytes at most, so only the wrapping's header needs them.
+    """
     bits = window_bits if wrapped else -max(9, window_bits)
     coder = zlib.compressobj(level, zlib.DEFLATED, bits, 8, zlib.Z_DEFAULT_STRATEGY, dictionary) if dictionary else zlib.compressobj(level, zlib.DEFLATED, bits)
     out = coder.compress(data) + coder.flush()
+    if wrapped and window_bits == 8:
+        out = _header(8, out[1] >> 5) + out[2:]
     # zlib's smaller blocks can pass the bound on data that doesn't compress.
     return stored(data) if not wrapped and not dictionary and len(out) > bound(len(data)) else out
 
@@ -57,7 +68,7 @@ def decode(data: bytes, limit: int | None = None, wrapped: bool = False, diction
     used = len(data) - len(coder.unused_data)
     if not coder.eof or (limit is not None and len(out) > limit):
         return out, used, "FMT_DATA"
-    if strict and not wrapped and long_form_258(data[:used]):
+    if strict and (dictionary or may_hold_258(out)) and long_form_258(data[2 + 4 * bool(data[1] & 32) : used - 4] if wrapped else data[:used]):
         return b"", 0, "FMT_DATA"
     return out, used, None
 
@@ -80,23 +91,23 @@ def zlib_encode(data: Column, level: int = 6) -> Column:
     return _binary(lambda v: encode(v, level, wrapped=True))(data)
 
 
-def _decoder(limit: int | None, wrapped: bool) -> Callable[[Column], Column]:
+def _decoder(limit: int | None, wrapped: bool, strict: bool) -> Callable[[Column], Column]:
     @F.arrow_udf(DECODED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
-            rows = [None if v is None else dict(zip(("data", "used", "code"), decode(v, limit, wrapped), strict=True)) for v in values.to_pylist()]
+            rows = [None if v is None else dict(zip(("data", "used", "code"), decode(v, limit, wrapped, strict=strict), strict=True)) for v in values.to_pylist()]
             yield pa.array(rows, pa.struct([("data", pa.binary()), ("used", pa.int64()), ("code", pa.string())]))
 
     return run
 
 
-def inflate(data: Column, limit: int | None = None) -> Column:
+def inflate(data: Column, limit: int | None = None, strict: bool = True) -> Column:
     """``data, used, code`` of raw Deflate; at most ``limit`` bytes are decoded."""
-    return _decoder(limit, False)(data)
+    return _decoder(limit, False, strict)(data)
 
 
-def zlib_decode(data: Column, limit: int | None = None) -> Column:
-    return _decoder(limit, True)(data)
+def zlib_decode(data: Column, limit: int | None = None, strict: bool = True) -> Column:
+    return _decoder(limit, True, strict)(data)
 
 
 class Encoder:
@@ -142,6 +153,16 @@ class Decoder:
     def ended(self) -> bool:
         return self.coder.eof
 
+    @property
+    def window(self) -> int:
+        """Bytes that the decoder looks back, at most."""
+        return 2 ** self.made[1]
+
+
+def dictionary_id(data: bytes) -> int | None:
+    """The Adler-32 of the dictionary that a zlib stream asks for, or None if it asks for none."""
+    return int.from_bytes(data[2:6], "big") if len(data) >= 6 and data[1] & 32 else None
+
 
 def _stream(df: DataFrame, key: str, order: str, data: str, make: Callable[[], object], step: Callable[[object, bytes, bool], bytes]) -> DataFrame:
     """Run one stream for each key over its pieces in order; every piece keeps its row."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions import binary, codec, listing, paths
 from stowage.functions.blake3 import Hasher, digests
-from stowage.functions.inflate_strict import long_form_258
+from stowage.functions.inflate_strict import long_form_258, may_hold_258
 from stowage.operators import chunks
 
 
@@ -168,3 +168,27 @@ def test_unsigned_arithmetic(spark):
         binary.little_endian(F.col("b"), 0, 8).alias("n"), binary.checked_sum(binary.little_endian(F.col("b"), 0, 8), F.lit(1)).alias("over"), binary.checked_sum(F.lit(2**62), F.lit(2**62)).alias("fine"),
     ).first()
     assert int(row.n) == 2**64 - 1 and row.over is None and int(row.fine) == 2**63
+
+
+def test_small_windows_look_back_no_further():
+    data = pattern(3000) * 3
+    for level in (1, 6, 9):
+        assert zlib.decompressobj(-8).decompress(codec.encode(data, level, 8)) == data
+        wrapped = codec.encode(data, level, 8, wrapped=True)
+        assert wrapped[0] >> 4 == 0 and zlib.decompressobj(8).decompress(wrapped) == data
+    assert codec.Decoder(window_bits=9).window == 512
+
+
+def test_only_streams_that_may_hold_it_are_walked():
+    long = _fixed_block([97, "long", "end"])
+    assert may_hold_258(zlib.decompress(long, -15)) and not may_hold_258(pattern(200))
+    filler = codec.Encoder()
+    start = filler.write(bytes(range(256)) * 3, "sync")
+    assert codec.decode(start + long, strict=True)[2] == "FMT_DATA" and codec.decode(start + long)[2] is None
+    assert codec.decode(codec.encode(b"ab" * 5000), strict=True)[2] is None
+
+
+def test_dictionary_id():
+    words = b"some words of a dictionary"
+    assert codec.dictionary_id(codec.encode(b"some words", wrapped=True, dictionary=words)) == zlib.adler32(words)
+    assert codec.dictionary_id(codec.encode(b"some words", wrapped=True)) is None
