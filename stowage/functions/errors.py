@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, functions as F
 
 # The codes by exit class, 1 usage, 2 input and output, 3 format, 4 integrity, 5 security, 6 modified.
@@ -23,12 +28,28 @@ EXIT = {code: number for number, codes in CODES.items() for code in codes}
 
 
 class ArchiveError(Exception):
-    """A failure with its code, the check that found it, and the path it is about."""
+    """A failure with its code, the check that found it, the path it is about, and all paths where there are several."""
 
-    def __init__(self, code: str, message: str, path: str = "", stage: int = 0, pos: int = -1) -> None:
+    def __init__(self, code: str, message: str, path: str = "", stage: int = 0, pos: int = -1, paths: tuple[str, ...] = ()) -> None:
         super().__init__(f"{code}: {message}" + (f": {path}" if path else ""))
         self.code, self.message, self.path, self.stage, self.pos = code, message, path, stage, pos
-        self.exit = EXIT.get(code, 1)
+        self.exit, self.paths = EXIT.get(code, 1), paths or ((path,) if path else ())
+
+
+_TOLD = re.compile(r"ArchiveError: ([A-Z_]+): (.*)")
+
+
+@contextmanager
+def from_tasks() -> Iterator[None]:
+    """Give back as itself an ArchiveError that was raised in a task and comes wrapped by Spark."""
+    try:
+        yield
+    except PySparkException as e:
+        told = _TOLD.search(str(e))
+        if told is None or told[1] not in EXIT:
+            raise
+        message, _, path = told[2].partition(": ")
+        raise ArchiveError(told[1], message, path) from e
 
 
 def exit_class(code: Column) -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stowage.functions import codec, listing
-from stowage.functions.errors import ArchiveError
+from stowage.functions.errors import ArchiveError, from_tasks
 from stowage.operators import order, source_tree
 from stowage.session import ship
 from stowage.sources import format as fmt
@@ -84,7 +84,8 @@ def create(spark: SparkSession, archive: str, *sources: str, fast: bool = False,
     rows = rows.repartitionByRange("seq").sortWithinPartitions("seq")
     columns = "seq", "action", "member_path", "abs_path", "mode", "uid", "gid", "mtime_ns", "size", "link"
     written = rows.select(*columns).mapInArrow(lambda it: _pieces(it, level), ArchiveSink({}).schema())
-    written.write.format("stowage_archive").mode("append").option("path", archive).option("hash_alg", hash_alg).save()
+    with from_tasks():
+        written.write.format("stowage_archive").mode("append").option("path", archive).option("hash_alg", hash_alg).save()
 
 
 def listing_of(spark: SparkSession, archive: str, requested: list[str] | None = None, verbose: bool = False, human: bool = False) -> DataFrame:
@@ -114,7 +115,7 @@ def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(row["data"]) > codec.bound(fmt.CHUNK):
                 found.append((0, "FMT_INDEX"))
             else:
-                out, used, code = codec.decode(row["data"], row["size_expected"])
+                out, used, code = codec.decode(row["data"], row["size_expected"], strict=True)
                 if code or used != len(row["data"]) or len(out) != row["size_expected"]:
                     found.append((0, "FMT_DATA"))
             hasher.update(row["data"])
@@ -159,11 +160,24 @@ def damage(spark: SparkSession, archive: str, requested: list[str] | None = None
 
 def verify(spark: SparkSession, archive: str, requested: list[str] | None = None) -> None:
     """Raise the first error in archive order, however the work was dealt out."""
-    worst = damage(spark, archive, requested).agg(F.min(F.struct("pos", "chunk_index", "kind", "code", "path")).alias("e")).first().e
+    with from_tasks():
+        worst = damage(spark, archive, requested).agg(F.min(F.struct("pos", "chunk_index", "kind", "code", "path")).alias("e")).first().e
     if worst:
         raise ArchiveError(worst.code, "the data is damaged", worst.path, pos=worst.pos)
 
 
+def conflicts(dest: str, chosen: list[str], selective: bool) -> list[str]:
+    """All chosen paths that exist below ``dest`` and, if not all members are taken, folders above them that are none, in order."""
+    there = [path for path in chosen if os.path.lexists(os.path.join(dest, path))]
+    if not selective:
+        return there
+    parts = [path.split("/") for path in chosen]
+    above = dict.fromkeys("/".join(names[:n]) for names in parts for n in range(1, len(names)))
+    known = set(chosen)
+    places = {path: os.path.join(dest, path) for path in above if path not in known}
+    return there + [path for path, at in places.items() if os.path.lexists(at) and (os.path.islink(at) or not os.path.isdir(at))]
+
+
 def extract(spark: SparkSession, archive: str, dest: str, requested: list[str] | None = None, overwrite: bool = False) -> None:
     """Create the members below ``dest`` in archive order; after a failure what was made is gone again.
 
@@ -176,14 +190,14 @@ def extract(spark: SparkSession, archive: str, dest: str, requested: list[str] |
     verify(spark, archive, requested)
     sink = Extraction(dest, overwrite)
     if not overwrite:
-        taken = [m.path for _, m in chosen if os.path.lexists(os.path.join(sink.dest, m.path))]
+        taken = conflicts(sink.dest, [m.path for _, m in chosen], only is not None)
         if taken:
-            raise ArchiveError("IO_OPEN", f"{len(taken)} members exist already", taken[0])
+            raise ArchiveError("IO_OPEN", f"{len(taken)} places are taken already", taken[0], paths=tuple(taken))
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                out, _, code = codec.decode(row["data"], row["size_expected"])
+                out, _, code = codec.decode(row["data"], row["size_expected"], strict=True)
                 if code:
                     raise ArchiveError(code, "a chunk can't be decoded", row["path"])
                 yield pa.RecordBatch.from_pylist([{"pos": row["pos"], "chunk_index": row["chunk_index"], "data": out}], pa.schema([("pos", pa.int64()), ("chunk_index", pa.int64()), ("data", pa.binary())]))
@@ -201,8 +215,9 @@ def extract(spark: SparkSession, archive: str, dest: str, requested: list[str] |
             ahead = next(plain, None)
 
     try:
-        for pos, m in chosen:
-            sink.create(m, pieces(pos))
+        with from_tasks():
+            for pos, m in chosen:
+                sink.create(m, pieces(pos))
         sink.finish()
     except BaseException:
         sink.undo()

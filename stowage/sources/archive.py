@@ -8,11 +8,12 @@ Paths may be of any store that pyarrow opens; without a scheme they are local.
 
 from __future__ import annotations
 
-import io
 import os
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
@@ -32,6 +33,8 @@ CHUNKS = (
 )
 #: Bytes of chunks that a partition reads, about.
 SPLIT = 64 * 2**20
+#: Bytes that the commit copies at once.
+COPY = 16 * 2**20
 
 
 def store(path: str) -> tuple[fs.FileSystem, str]:
@@ -166,13 +169,15 @@ class ChunksSource(DataSource):
 class Written(WriterCommitMessage):
     part: str
     first: tuple
+    size: int
 
 
 class ArchiveWriter(DataSourceWriter):
     """Rows of members and chunks, in the order of (pos, chunk_index) within each task and no member in two tasks.
 
-    Tasks leave part files beside the target; the commit puts them in order, computes
-    digests and offsets on the way, and renames the finished file into place. So the
+    A task leaves the body of its members as one file and their index entries, with digests and
+    with offsets from the body's start, as another. The commit joins the bodies as they are,
+    moves the offsets, and renames the finished file into place once it is on the disk. So the
     target is there whole or not at all, and a failed job leaves nothing.
     """
 
@@ -184,32 +189,38 @@ class ArchiveWriter(DataSourceWriter):
         system.create_dir(name)
 
     def write(self, rows: Iterator[T.Row]) -> WriterCommitMessage:
-        system, name = store(f"{self.parts}/{uuid.uuid4().hex}.arrow")
+        system, name = store(f"{self.parts}/{uuid.uuid4().hex}")
         first: tuple = ()
-        schema = pa.schema([
-            ("pos", pa.int64()), ("chunk_index", pa.int64()), ("type", pa.int32()), ("mode", pa.int64()), ("uid", pa.int64()), ("gid", pa.int64()),
-            ("mtime_ns", pa.int64()), ("size_original", pa.int64()), ("path", pa.string()), ("link", pa.string()), ("data", pa.binary()),
-        ])
-        with system.open_output_stream(name) as out, pa.ipc.new_stream(out, schema) as stream:
-            held: list[dict] = []
-            for row in rows:
-                first = first or (row.pos, row.chunk_index or 0)
-                held.append({k: row[k] for k in schema.names})
-                if len(held) == 64:
-                    stream.write_batch(pa.RecordBatch.from_pylist(held, schema))
+        held: list[dict] = []
+        with system.open_output_stream(f"{name}.body") as body, system.open_output_stream(f"{name}.index") as index, pa.ipc.new_stream(index, _ENTRIES) as entries:
+
+            def noted() -> Iterator[T.Row]:
+                nonlocal first
+                for row in rows:
+                    first = first or (row.pos, row.chunk_index or 0)
+                    yield row
+
+            for member in lay(body, noted(), self.algorithm):
+                held.append(asdict(member))
+                if len(held) == 1000:
+                    entries.write_batch(pa.RecordBatch.from_pylist(held, _ENTRIES))
                     held = []
             if held:
-                stream.write_batch(pa.RecordBatch.from_pylist(held, schema))
-        return Written(f"{self.parts}/{os.path.basename(name)}", first)
+                entries.write_batch(pa.RecordBatch.from_pylist(held, _ENTRIES))
+            size = body.tell()
+        return Written(f"{self.parts}/{os.path.basename(name)}", first, size)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         parts = sorted((m for m in messages if m and m.first), key=lambda m: m.first)
-        system, name = store(self.target)
-        temporary = f"{name}.tmp-{uuid.uuid4().hex}"
         try:
-            with system.open_output_stream(temporary) as out:
-                assemble(out, (row for m in parts for row in _part_rows(m.part)), self.algorithm)
-            system.move(temporary, name)
+            with replacing(self.target) as out:
+                out.write(fmt.header(self.algorithm))
+                for m in parts:
+                    system, name = store(m.part)
+                    with system.open_input_stream(f"{name}.body") as body:
+                        while piece := body.read(COPY):
+                            out.write(piece)
+                write_index(out, _moved(parts), fmt.HEADER + sum(m.size for m in parts), self.algorithm)
         finally:
             self._clear()
 
@@ -222,41 +233,87 @@ class ArchiveWriter(DataSourceWriter):
             system.delete_dir(name)
 
 
-def _part_rows(path: str) -> Iterator[dict]:
-    system, name = store(path)
-    with system.open_input_stream(name) as f, pa.ipc.open_stream(f) as stream:
-        for batch in stream:
-            yield from batch.to_pylist()
+_ENTRIES = pa.schema([
+    ("path", pa.string()), ("type", pa.int32()), ("mode", pa.int64()), ("uid", pa.int64()), ("gid", pa.int64()), ("mtime_ns", pa.int64()),
+    ("size_original", pa.int64()), ("size_compressed", pa.int64()), ("data_offset", pa.int64()), ("hash", pa.binary()), ("link", pa.string()),
+    ("chunk_sizes", pa.list_(pa.int64())),
+])
+
+
+def _moved(parts: list[Written]) -> Iterator[fmt.Member]:
+    """The members of all parts in order, with offsets in the finished file."""
+    at = fmt.HEADER
+    for m in parts:
+        system, name = store(m.part)
+        with system.open_input_stream(f"{name}.index") as f, pa.ipc.open_stream(f) as stream:
+            for batch in stream:
+                for row in batch.to_pylist():
+                    member = fmt.Member(**row)
+                    if member.size_compressed:
+                        member.data_offset += at
+                    yield member
+        at += m.size
 
 
-def assemble(out: io.RawIOBase, rows: Iterator[dict], algorithm: int) -> list[fmt.Member]:
-    """Write an archive of rows in order; a member without data has one row without a chunk."""
-    out.write(fmt.header(algorithm))
-    at, members, hasher = fmt.HEADER, [], None
+@contextmanager
+def replacing(path: str) -> Iterator[Any]:
+    """A stream whose bytes take the place of a file when the block ends, and are gone if it fails."""
+    system, name = store(path)
+    temporary = f"{name}.tmp-{uuid.uuid4().hex}"
+    local = isinstance(system, fs.LocalFileSystem)
+    try:
+        with open(temporary, "wb") if local else system.open_output_stream(temporary) as out:
+            yield out
+            if local:
+                out.flush()
+                os.fsync(out.fileno())
+        system.move(temporary, name)
+        if local:
+            folder = os.open(os.path.dirname(name), os.O_RDONLY)
+            try:
+                os.fsync(folder)
+            finally:
+                os.close(folder)
+    finally:
+        if system.get_file_info(temporary).type != fs.FileType.NotFound:
+            system.delete_file(temporary)
+
+
+def lay(out: Any, rows: Iterator[Any], algorithm: int) -> Iterator[fmt.Member]:
+    """Write the chunks of rows in order; the members, each when it is whole, with offsets from where ``out`` began."""
+    at, last, member, hasher = 0, None, None, None
     empty = fmt.digest(algorithm, b"")
-    last = None
     for row in rows:
         if row["pos"] != last:
-            if hasher is not None:
-                members[-1].hash = hasher.digest()
+            if member is not None:
+                member.hash = hasher.digest() if hasher else empty
+                yield member
             last, hasher = row["pos"], None
-            kind = row["type"]
-            size = row["size_original"] if kind == fmt.FILE else 0
-            members.append(fmt.Member(row["path"], kind, row["mode"], row["uid"], row["gid"], row["mtime_ns"], size or 0, hash=empty, link=row["link"] or ""))
+            size = (row["size_original"] or 0) if row["type"] == fmt.FILE else 0
+            member = fmt.Member(row["path"], row["type"], row["mode"], row["uid"], row["gid"], row["mtime_ns"], size, link=row["link"] or "")
             if size:
-                members[-1].data_offset, hasher = at, fmt.HASHERS[algorithm]()
+                member.data_offset, hasher = at, fmt.HASHERS[algorithm]()
         if row["data"] is not None and hasher is not None:
-            out.write(row["data"])
-            hasher.update(row["data"])
-            at += len(row["data"])
-            members[-1].size_compressed += len(row["data"])
-            members[-1].chunk_sizes.append(len(row["data"]))
-    if hasher is not None:
-        members[-1].hash = hasher.digest()
-    index = b"".join(map(fmt.entry, members))
-    out.write(index)
-    out.write(fmt.footer(at, index, len(members), algorithm))
-    return members
+            data = bytes(row["data"])
+            out.write(data)
+            hasher.update(data)
+            at += len(data)
+            member.size_compressed += len(data)
+            member.chunk_sizes.append(len(data))
+    if member is not None:
+        member.hash = hasher.digest() if hasher else empty
+        yield member
+
+
+def write_index(out: Any, members: Iterator[fmt.Member], at: int, algorithm: int) -> None:
+    """The index that begins at ``at``, entry by entry, and the footer."""
+    hasher, length, count = fmt.HASHERS[algorithm](), 0, 0
+    for member in members:
+        entry = fmt.entry(member)
+        out.write(entry)
+        hasher.update(entry)
+        length, count = length + len(entry), count + 1
+    out.write(fmt.footer(at, length, hasher.digest(), count))
 
 
 class ArchiveSink(DataSource):

@@ -63,8 +63,8 @@ def entry(m: Member) -> bytes:
     return fixed + path + tail + struct.pack(f"<I{len(m.chunk_sizes)}I", len(m.chunk_sizes), *m.chunk_sizes)
 
 
-def footer(index_offset: int, index: bytes, count: int, algorithm: int) -> bytes:
-    return TAIL.pack(index_offset, len(index), digest(algorithm, index), count, CONFIRM, bytes(8))
+def footer(index_offset: int, length: int, index_hash: bytes, count: int) -> bytes:
+    return TAIL.pack(index_offset, length, index_hash, count, CONFIRM, bytes(8))
 
 
 def read_header(data: bytes) -> int:

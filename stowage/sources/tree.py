@@ -84,6 +84,12 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
+def _own(target: str | int, m: fmt.Member) -> None:
+    """Give what was made to the member's owner and group, as only root may."""
+    if os.geteuid() == 0:
+        os.chown(target, m.uid, m.gid, follow_symlinks=isinstance(target, int))
+
+
 class Extraction:
     """Creates members in order below a folder; what it made goes again if it fails.
 
@@ -138,6 +144,7 @@ class Extraction:
             self.folders.append((target, m))
         elif m.type == fmt.SYMLINK:
             os.symlink(m.link, target)
+            _own(target, m)
             os.utime(target, ns=(m.mtime_ns, m.mtime_ns), follow_symlinks=False)
         elif m.type == fmt.HARDLINK:
             os.link(self.place(m.link), target, follow_symlinks=False)
@@ -147,6 +154,7 @@ class Extraction:
             with os.fdopen(fd, "wb") as f:
                 for piece in pieces:
                     f.write(piece)
+                _own(f.fileno(), m)
                 os.fchmod(f.fileno(), m.mode & 0o777)
             os.utime(target, ns=(m.mtime_ns, m.mtime_ns))
             return
@@ -155,6 +163,7 @@ class Extraction:
     def finish(self) -> None:
         """Modes and times of folders, the deepest first, once nothing is put into them any more."""
         for target, m in reversed(self.folders):
+            _own(target, m)
             os.chmod(target, m.mode & 0o777)
             os.utime(target, ns=(m.mtime_ns, m.mtime_ns))
 

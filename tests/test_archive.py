@@ -2,7 +2,9 @@ import os
 import random
 
 import pytest
+from pyspark.sql import Row, functions as F
 
+from stowage.functions import codec
 from stowage.functions.errors import ArchiveError
 from stowage.plans import archive
 from stowage.sources import format as fmt
@@ -226,3 +228,54 @@ def test_headers(spark, at, value, code):
         with pytest.raises(ArchiveError) as e:
             fmt.read_header(bytes(data))
         assert e.value.code == code
+
+
+def test_failed_commit_leaves_nothing(spark, tmp_path, monkeypatch):
+    from stowage.sources import archive as writer
+
+    rows = [Row(pos=0, chunk_index=0, type=1, mode=0o644, uid=0, gid=0, mtime_ns=0, size_original=3, path="a", link="", data=codec.encode(b"abc"))]
+    made = writer.ArchiveWriter({"path": str(tmp_path / "x.arc")})
+    done = made.write(iter(rows))
+
+    def broken(*args):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(writer, "write_index", broken)
+    with pytest.raises(OSError, match="no space"):
+        made.commit([done, None])
+    assert os.listdir(tmp_path) == []
+
+
+def test_long_form_is_damage(spark, tmp_path):
+    from tests.test_functions import _fixed_block
+
+    stream = _fixed_block([97, "long", "end"])
+    path = str(tmp_path / "long.arc")
+    rows = [(0, 0, 1, 0o644, 0, 0, 0, 259, "a", "", stream)]
+    kinds = "pos long, chunk_index long, type int, mode long, uid long, gid long, mtime_ns long, size_original long, path string, link string, data binary"
+    archive.members(spark, path)
+    spark.createDataFrame(rows, kinds).coalesce(1).write.format("stowage_archive").mode("append").option("path", path).save()
+    for act in (lambda: archive.verify(spark, path), lambda: archive.extract(spark, path, str(tmp_path / "out"))):
+        with pytest.raises(ArchiveError) as e:
+            act()
+        assert e.value.code == "FMT_DATA" and e.value.exit == 3
+
+
+def test_codes_come_back_from_tasks(spark, tree, tmp_path, monkeypatch):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "f").write_bytes(b"abc")
+    real = archive.entries
+    monkeypatch.setattr(archive, "entries", lambda *a: real(*a).withColumn("mtime_ns", F.col("mtime_ns") + 1))
+    with pytest.raises(ArchiveError) as e:
+        archive.create(spark, str(tmp_path / "x.arc"), str(src))
+    assert e.value.code == "MODIFIED" and e.value.exit == 6 and e.value.path == str(src / "f")
+    assert sorted(os.listdir(tmp_path)) == ["src"]
+
+
+def test_folders_above_are_looked_at_first(spark, made, tmp_path):
+    (tmp_path / "a").write_text("no folder")
+    (tmp_path / "a-b").write_text("old")
+    with pytest.raises(ArchiveError) as e:
+        archive.extract(spark, made, str(tmp_path), ["a/one", "a-b"])
+    assert e.value.paths == ("a-b", "a") and sorted(os.listdir(tmp_path)) == ["a", "a-b"]
