@@ -19,8 +19,9 @@ when their sets' Jaccard similarity is at least 0.75; the result is exact.
    of one group makes a pair, which the number of shared shingles, a bound of the
    overlap, must allow. A component of several is taken member by member, or through the
    posting lists again if these hold fewer. All are filtered by size and by bitmaps of
-   the sets, which show shingles that the other lacks, expanded into classes and verified. So no link between different components is missed, and no pair
-   within one is looked at.
+   the sets, which show shingles that the other lacks, expanded into classes and
+   verified. So no link between different components is missed, and no pair within one is
+   looked at.
 
 Nothing grows but tables: the counting table has 2**22 cells at any size, posting lists
 are joined by Spark (which splits hot ones), and sets are compared pair by pair.
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stowage.llm.components import components
-from stowage.llm.workers import texts, tidy
+from stowage.llm.workers import give_back, texts, tidy
 from stowage.session import discard, materialize, release, small_batches
 
 WORDS = 5
@@ -51,8 +52,8 @@ CELLS, PIECES = 2**22, 64
 BIT_WORDS = 8
 #: Words whose hashes a task keeps.
 KEPT_WORDS = 400_000
-#: Rounds of neighbours in posting lists, each with a part of the shingles, before all pairs are taken.
-NEIGHBOUR_ROUNDS, PARTS = 2, 4
+#: Rounds of neighbours in posting lists of suspects, each with a part of the shingles, before the round among all groups.
+NEIGHBOUR_ROUNDS, PARTS = 1, 4
 
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
@@ -123,8 +124,13 @@ def commonness(docs: DataFrame) -> np.ndarray:
     cells = np.zeros((PIECES, CELLS // PIECES), np.uint32)
     for row in rows:
         cells[row.piece] = np.frombuffer(row.counts, "<u4")
+    del rows
     step = np.uint32(max(1, int(np.sqrt(cells.mean()) / 4)))
-    return np.minimum(cells.ravel() // step, 2**16 - 1).astype(np.uint16)
+    cells //= step
+    table = np.minimum(cells, 2**16 - 1, out=cells).astype(np.uint16).ravel()
+    del cells
+    give_back()
+    return table
 
 
 def bitmap(s: np.ndarray) -> list[int]:
@@ -334,6 +340,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return named.groupBy("gid").agg(F.when(mixed, -1 - F.col("gid")).otherwise(F.min("label")).alias("label"), mixed.alias("mixed"))
 
     def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+        if links.isEmpty():
+            return found
         return components(found.select(F.col("node").alias("x"), F.col("component").alias("y")).union(links))
 
     def unconnected(posted: DataFrame, found: DataFrame) -> DataFrame:
