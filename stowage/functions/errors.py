@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,11 +28,18 @@ CODES = {
 EXIT = {code: number for number, codes in CODES.items() for code in codes}
 
 
+_ALL = "; all: "
+
+
 class ArchiveError(Exception):
-    """A failure with its code, the check that found it, the path it is about, and all paths where there are several."""
+    """A failure with its code, the check that found it, the path it is about, and all paths where there are several.
+
+    Its text names all paths too, as they would be lost on the way from a task otherwise.
+    """
 
     def __init__(self, code: str, message: str, path: str = "", stage: int = 0, pos: int = -1, paths: tuple[str, ...] = ()) -> None:
-        super().__init__(f"{code}: {message}" + (f": {path}" if path else ""))
+        several = f"{_ALL}{json.dumps(paths)}" if len(paths) > 1 else ""
+        super().__init__(f"{code}: {message}" + (f": {path}" if path else "") + several)
         self.code, self.message, self.path, self.stage, self.pos = code, message, path, stage, pos
         self.exit, self.paths = EXIT.get(code, 1), paths or ((path,) if path else ())
 
@@ -49,7 +57,8 @@ def from_tasks() -> Iterator[None]:
         if told is None or told[1] not in EXIT:
             raise
         message, _, path = told[2].partition(": ")
-        raise ArchiveError(told[1], message, path) from e
+        path, several, paths = path.partition(_ALL)
+        raise ArchiveError(told[1], message, path, paths=tuple(json.loads(paths)) if several else ()) from e
 
 
 def exit_class(code: Column) -> Column:

@@ -31,7 +31,7 @@ def chunks(spark: SparkSession, *archives: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, *sources: str) -> DataFrame:
-    """What is below the sources, without what lies on other devices, numbered as a walk would."""
+    """What is below the sources, without what lies below folders of other devices, numbered as a walk would."""
     register(spark)
     rows = spark.read.format("stowage_tree").option("paths", "\n".join(sources)).load()
     roots = spark.createDataFrame([(os.path.realpath(s), i) for i, s in enumerate(sources)], "root string, source int")
@@ -41,12 +41,18 @@ def entries(spark: SparkSession, *sources: str) -> DataFrame:
 
 
 def _pieces(rows: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    """Entries to rows of the archive writer: files are read and compressed chunk by chunk, the others have one row."""
+    """Entries to rows of the archive writer: files are read and compressed chunk by chunk, the others have one row.
+
+    Entries that are no members are named in ``skipped``, and files that changed while they were read in ``modified``.
+    """
     names = ["pos", "chunk_index", "type", "mode", "uid", "gid", "mtime_ns", "size_original", "path", "link", "data"]
     types = {"dir": fmt.FOLDER, "file": fmt.FILE, "symlink": fmt.SYMLINK, "hardlink": fmt.HARDLINK}
-    schema = pa.schema([(n, pa.int64()) for n in names[:2]] + [("type", pa.int32())] + [(n, pa.int64()) for n in names[3:8]] + [("path", pa.string()), ("link", pa.string()), ("data", pa.binary())])
+    schema = pa.schema([(n, pa.int64()) for n in names[:2]] + [("type", pa.int32())] + [(n, pa.int64()) for n in names[3:8]] + [("path", pa.string()), ("link", pa.string()), ("data", pa.binary()), ("modified", pa.string()), ("skipped", pa.string())])
     for batch in rows:
         for e in batch.to_pylist():
+            if e["action"] == "skip":
+                yield pa.RecordBatch.from_pylist([{"pos": e["seq"], "path": e["member_path"], "skipped": e["abs_path"]}], schema)
+                continue
             common = {
                 "pos": e["seq"], "type": types[e["action"]], "mode": e["mode"], "uid": e["uid"], "gid": e["gid"], "mtime_ns": e["mtime_ns"],
                 "path": e["member_path"], "link": e["link"], "size_original": e["size"] if e["action"] == "file" else 0,
@@ -65,11 +71,15 @@ def _pieces(rows: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBat
                     i += 1
                 now = os.fstat(f.fileno())
             if now.st_size != e["size"] or now.st_mtime_ns != e["mtime_ns"]:
-                raise ArchiveError("MODIFIED", "the file changed while it was read", e["abs_path"])
+                yield pa.RecordBatch.from_pylist([common | {"chunk_index": i, "modified": e["abs_path"]}], schema)
 
 
 def create(spark: SparkSession, archive: str, *sources: str, fast: bool = False, hash_alg: int = fmt.BLAKE3) -> None:
-    """An archive of the sources, in the order of a walk; it appears whole or not at all."""
+    """An archive of the sources, in the order of a walk; it appears whole or not at all.
+
+    Special files and folders of other devices are left out with a warning. Files that change while they
+    are read make the archive fail in the end, with the paths of all of them.
+    """
     ship(spark)
     target = os.path.realpath(archive)
     for s in sources:
@@ -79,11 +89,11 @@ def create(spark: SparkSession, archive: str, *sources: str, fast: bool = False,
         if not os.path.lexists(root):
             raise ArchiveError("IO_OPEN", "no such source", s)
     level = FAST if fast else LEVEL
-    rows = entries(spark, *sources).filter("action <> 'skip'")
+    rows = entries(spark, *sources)
     # Ranges of whole members: the writer's parts then follow each other.
     rows = rows.repartitionByRange("seq").sortWithinPartitions("seq")
     columns = "seq", "action", "member_path", "abs_path", "mode", "uid", "gid", "mtime_ns", "size", "link"
-    written = rows.select(*columns).mapInArrow(lambda it: _pieces(it, level), ArchiveSink({}).schema())
+    written = rows.select(*columns).mapInArrow(lambda it: _pieces(it, level), f"{ArchiveSink({}).schema()}, modified string, skipped string")
     with from_tasks():
         written.write.format("stowage_archive").mode("append").option("path", archive).option("hash_alg", hash_alg).save()
 

@@ -9,6 +9,7 @@ Paths may be of any store that pyarrow opens; without a scheme they are local.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -170,6 +171,8 @@ class Written(WriterCommitMessage):
     part: str
     first: tuple
     size: int
+    modified: list[tuple[int, str]]
+    skipped: list[tuple[int, str]]
 
 
 class ArchiveWriter(DataSourceWriter):
@@ -179,6 +182,9 @@ class ArchiveWriter(DataSourceWriter):
     with offsets from the body's start, as another. The commit joins the bodies as they are,
     moves the offsets, and renames the finished file into place once it is on the disk. So the
     target is there whole or not at all, and a failed job leaves nothing.
+
+    Rows may have two more columns. One with a path in ``skipped`` is no member, and the commit warns of
+    it. Where any has a path in ``modified``, the commit fails and names them all.
     """
 
     def __init__(self, options: dict[str, str]) -> None:
@@ -192,11 +198,16 @@ class ArchiveWriter(DataSourceWriter):
         system, name = store(f"{self.parts}/{uuid.uuid4().hex}")
         first: tuple = ()
         held: list[dict] = []
+        noticed: dict[str, list[tuple[int, str]]] = {"modified": [], "skipped": []}
         with system.open_output_stream(f"{name}.body") as body, system.open_output_stream(f"{name}.index") as index, pa.ipc.new_stream(index, _ENTRIES) as entries:
 
             def noted() -> Iterator[T.Row]:
                 nonlocal first
                 for row in rows:
+                    which = next((k for k in noticed if k in row and row[k]), None)
+                    if which:
+                        noticed[which].append((row.pos, row[which]))
+                        continue
                     first = first or (row.pos, row.chunk_index or 0)
                     yield row
 
@@ -208,11 +219,16 @@ class ArchiveWriter(DataSourceWriter):
             if held:
                 entries.write_batch(pa.RecordBatch.from_pylist(held, _ENTRIES))
             size = body.tell()
-        return Written(f"{self.parts}/{os.path.basename(name)}", first, size)
+        return Written(f"{self.parts}/{os.path.basename(name)}", first, size, **noticed)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         parts = sorted((m for m in messages if m and m.first), key=lambda m: m.first)
+        for _, path in sorted(s for m in messages if m for s in m.skipped):
+            print(f"skipped, on another device or a special file: {path}", file=sys.stderr)
+        changed = tuple(path for _, path in sorted(s for m in messages if m for s in m.modified))
         try:
+            if changed:
+                raise ArchiveError("MODIFIED", "files changed while they were read", changed[0], paths=changed)
             with replacing(self.target) as out:
                 out.write(fmt.header(self.algorithm))
                 for m in parts:

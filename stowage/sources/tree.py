@@ -34,14 +34,22 @@ def entry_row(root: str, path: str, member: str) -> tuple:
 
 
 def walk(root: str, path: str, member: str, device: int) -> Iterator[tuple]:
-    """An entry and all below it, names in byte order; folders of other devices are left out, links not followed."""
-    row = entry_row(root, path, member)
-    if row[3] == "dir" and row[4] != device:
-        return
-    yield row
-    if row[3] == "dir":
-        for name in sorted(os.listdir(path), key=os.fsencode):
-            yield from walk(root, os.path.join(path, name), f"{member}/{name}", device)
+    """An entry and all below it, at any depth, names in byte order; links are not followed.
+
+    A folder of another device has the kind ``mount``, and nothing below it is an entry.
+    """
+    ahead = [(path, member)]
+    while ahead:
+        path, member = ahead.pop()
+        row = entry_row(root, path, member)
+        if row[3] != "dir":
+            yield row
+        elif row[4] != device:
+            yield (*row[:3], "mount", *row[4:])
+        else:
+            yield row
+            names = sorted(os.listdir(path), key=os.fsencode, reverse=True)
+            ahead += [(os.path.join(path, name), f"{member}/{name}") for name in names]
 
 
 @dataclass

@@ -273,6 +273,56 @@ def test_codes_come_back_from_tasks(spark, tree, tmp_path, monkeypatch):
     assert sorted(os.listdir(tmp_path)) == ["src"]
 
 
+def test_all_modified_files_are_named(spark, tmp_path, monkeypatch):
+    src = tmp_path / "src"
+    (src / "b").mkdir(parents=True)
+    for name in ("a", "b/c", "d", "e"):
+        (src / name).write_bytes(b"abc")
+    real = archive.entries
+    older = F.col("mtime_ns") + F.col("member_path").isin("a", "b/c", "e").cast("long")
+    monkeypatch.setattr(archive, "entries", lambda *a: real(*a).withColumn("mtime_ns", older))
+    with pytest.raises(ArchiveError) as e:
+        archive.create(spark, str(tmp_path / "x.arc"), str(src))
+    assert e.value.code == "MODIFIED" and e.value.paths == tuple(str(src / n) for n in ("a", "b/c", "e"))
+    assert sorted(os.listdir(tmp_path)) == ["src"]
+
+
+def test_special_files_are_left_out(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "f").write_bytes(b"abc")
+    os.mkfifo(src / "pipe")
+    path = str(tmp_path / "x.arc")
+    archive.create(spark, path, str(src))
+    assert [m.path for m in read_archive(path)[1]] == ["f"]
+
+
+def test_writer_warns_of_what_it_leaves_out(tmp_path, capsys):
+    from stowage.sources import archive as writer
+
+    common = dict(chunk_index=0, type=1, mode=0o644, uid=0, gid=0, mtime_ns=0, size_original=0, link="", data=None, modified=None)
+    made = writer.ArchiveWriter({"path": str(tmp_path / "x.arc")})
+    rows = [Row(pos=0, path="pipe", skipped="/src/pipe", **common), Row(pos=1, path="f", skipped=None, **common)]
+    made.commit([made.write(iter(rows)), made.write(iter([Row(pos=2, path="z", skipped="/src/z", **common)])), None])
+    told = capsys.readouterr().err.splitlines()
+    assert [line.rpartition(": ")[2] for line in told] == ["/src/pipe", "/src/z"]
+    assert [m.path for m in read_archive(str(tmp_path / "x.arc"))[1]] == ["f"] and os.listdir(tmp_path) == ["x.arc"]
+
+
+def test_walk_of_deep_folders_and_other_devices(tmp_path):
+    from stowage.sources.tree import walk
+
+    root, deep = str(tmp_path), tmp_path / "d"
+    for _ in range(1500):
+        deep.mkdir()
+        deep = deep / "d"
+    device = os.lstat(root).st_dev
+    rows = list(walk(root, os.path.join(root, "d"), "d", device))
+    assert [r[2] for r in rows] == ["/".join("d" * n) for n in range(1, 1501)] and {r[3] for r in rows} == {"dir"}
+    other = list(walk(root, os.path.join(root, "d"), "d", device + 1))
+    assert [(r[2], r[3]) for r in other] == [("d", "mount")]
+
+
 def test_folders_above_are_looked_at_first(spark, made, tmp_path):
     (tmp_path / "a").write_text("no folder")
     (tmp_path / "a-b").write_text("old")
