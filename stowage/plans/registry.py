@@ -205,6 +205,19 @@ def header_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", binary.header_code(data).alias("code"))
 
 
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'FMT_MAGIC' WHEN 2 THEN 'FMT_RESERVED' WHEN 3 THEN 'FMT_TRUNCATED' WHEN 4 THEN 'FMT_MAGIC' WHEN 5 THEN 'FMT_TRUNCATED' END AS code
+FROM documents
+""")
+def footer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Numbers 3 and 5 have a byte too few and one too many, 4 breaks two rules, 0 none; the fields before are not looked at.
+    ends = {0: "0A41524B0000000000000000", 1: "0A41524A0000000000000000", 2: "0A41524B0000000000000001", 3: "0A41524B00000000000000",
+            4: "0B41524B0100000000000000", 5: "0A41524B000000000000000000"}
+    end = F.element_at(F.array(*[F.lit(ends[k]) for k in range(6)]), (F.col("doc_id") % 6 + 1).cast("int"))
+    data = F.unhex(F.concat(F.lpad(F.hex("doc_id"), 104, "0"), end))
+    return table(spark, sf_dir, "documents").select("doc_id", binary.footer_code(data).alias("code"))
+
+
 @query("""
 WITH f AS (SELECT o_orderkey, o_orderkey % 7 AS k, 16 + o_custkey * 100 AS begins, 84 + o_orderkey * 10 AS size FROM orders)
 SELECT o_orderkey, CASE WHEN k = 1 THEN 'FMT_INDEX' WHEN k = 2 AND begins > 16 THEN 'FMT_INDEX' WHEN k = 3 THEN 'FMT_INDEX' WHEN k = 4 THEN 'FMT_TRUNCATED' WHEN k = 5 THEN 'FMT_INDEX' END AS code FROM f

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import Row, functions as F
 
-from stowage.functions import codec
+from stowage.functions import binary, codec
 from stowage.functions.errors import ArchiveError
 from stowage.plans import archive
 from stowage.sources import format as fmt
@@ -230,6 +230,21 @@ def test_headers(spark, at, value, code):
         assert e.value.code == code
 
 
+@pytest.mark.parametrize(("at", "value", "code"), [(52, 0, "FMT_MAGIC"), (55, 0, "FMT_MAGIC"), (56, 1, "FMT_RESERVED"), (63, 9, "FMT_RESERVED"), (40, 7, None)])
+def test_footers(spark, at, value, code):
+    data = bytearray(fmt.footer(16, 84, bytes(32), 1))
+    data[at] = value
+    size = 16 + 84 + len(data)
+    told = spark.createDataFrame([(bytes(data),), (bytes(data[1:]),)], "data binary").select(binary.footer_code(F.col("data"))).collect()
+    assert [r[0] for r in told] == [code, "FMT_TRUNCATED"]
+    if code is None:
+        assert fmt.read_footer(bytes(data), size)[:2] == (16, 84)
+    else:
+        with pytest.raises(ArchiveError) as e:
+            fmt.read_footer(bytes(data), size)
+        assert e.value.code == code
+
+
 def test_failed_commit_leaves_nothing(spark, tmp_path, monkeypatch):
     from stowage.sources import archive as writer
 
