@@ -11,6 +11,7 @@ import uuid
 import weakref
 import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
@@ -133,8 +134,25 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
     _written[spark.sparkContext.applicationId].remove(path)
 
 
+def trim(spark: SparkSession) -> str | None:
+    """Give the free native memory of the driver's JVM back to the system; what the JVM says of it, or None if it can't.
+
+    Compilers, codecs and the network leave some hundred megabytes in the allocator's arenas, which keep them otherwise.
+    """
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    try:
+        # By the interface, as the class of the server is not open to the gateway.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0)
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:  # other JVMs and systems don't have the command
+        return None
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now.
+    """Let Spark drop the shuffle files of finished jobs now, and the driver's JVM the native memory that is free.
 
     Its cleaner waits for the driver's collector, and what a job held last only goes
     with the second collection after it.
@@ -142,6 +160,7 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.4)
+    trim(spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -1,5 +1,6 @@
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
@@ -92,6 +93,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
 
 
+@pytest.mark.parametrize(("few", "writes"), [(0, None), (3000, 2)])
+def test_few_links_are_joined_up_without_rounds(spark, monkeypatch, few, writes):
+    module = sys.modules[components.__module__]
+    made, write = [], module.materialize
+    monkeypatch.setattr(module, "FEW", few)
+    monkeypatch.setattr(module, "materialize", lambda df, *a: made.append(a) or write(df, *a))
+    rng = random.Random(3)
+    links = [(rng.randrange(-900, 900), rng.randrange(-900, 900)) for _ in range(800)] + [(5000 - i, 4999 - i) for i in range(60)] + [(7, 7), (2**62, -(2**62))]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(links, "x long, y long").repartition(3))
+    assert sorted(map(tuple, got.collect())) == sorted((i, find(i)) for i in up if find(i) != i)
+    assert got.schema.simpleString() == "struct<node:bigint,component:bigint>"
+    assert len(made) == writes if writes else len(made) > 2
+
+
 def test_order_does_not_change_the_result(spark, documents, monkeypatch):
     rows = documents.select("doc_id", F.col("text"))
     usual = sorted(map(tuple, near_dup.near_duplicates(rows).collect()))

@@ -1,5 +1,8 @@
+import pytest
+
 import corpus_pipeline
 import __spark_entry__ as driver
+from stowage import session
 from stowage.llm import labelled, near_dup, quality
 
 
@@ -58,3 +61,14 @@ def test_counts_of_the_caller_stay(spark, small):
     table = spark.createDataFrame([(1, "a line that is long\nb", 99, "x"), (2, "a line that is long\nc", 98, "y")], "doc_id long, text string, n_lines long, n_dropped string")
     got = sorted(map(tuple, corpus_pipeline.drop_lines(spark, table, small).collect()))
     assert got == [(1, "a line that is long\nb", 99, "x"), (2, "c", 98, "y")]
+
+
+def test_release_gives_native_memory_back(spark, monkeypatch):
+    said = session.trim(spark)
+    if said is None:
+        pytest.skip("this JVM has no command for it")
+    assert said.startswith("Trim native heap")
+    asked = []
+    monkeypatch.setattr(session, "trim", asked.append)
+    session.release(spark)
+    assert asked == [spark]
