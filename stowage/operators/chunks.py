@@ -13,6 +13,8 @@ from stowage.functions.binary import CHUNK, HEADER, expected_chunks, expected_le
 from stowage.operators import order
 
 HASHERS = {"sha256": hashlib.sha256, "blake3": blake3.Hasher}
+#: Digests of many whole messages at once.
+MANY = {"sha256": lambda messages: [hashlib.sha256(m).digest() for m in messages], "blake3": blake3.digests}
 
 
 def cut(df: DataFrame, data: str, chunk: int = CHUNK) -> DataFrame:
@@ -32,7 +34,11 @@ def chunk_offsets(chunks: DataFrame, key: str, start: str, size: str) -> DataFra
 
 
 def digest_members(chunks: DataFrame, key: str, data: str, algorithm: str = "sha256") -> DataFrame:
-    """``key, digest`` of each member over its chunks in order; one chunk is held at a time."""
+    """``key, digest`` of each member over its chunks in order.
+
+    One batch is held at a time: members that begin and end in it are digested together, the one that may go on is
+    a stream.
+    """
     rows = chunks.select(key, "chunk_index", F.col(data).cast("binary").alias(data))
     kind = rows.schema[key].dataType.simpleString()
 
@@ -43,16 +49,24 @@ def digest_members(chunks: DataFrame, key: str, data: str, algorithm: str = "sha
             return pa.RecordBatch.from_arrays([pa.array(keys, arrow_type(kind)), pa.array(values, pa.binary())], names=[key, "digest"])
 
         for batch in batches:
-            keys, values = [], []
-            for k, piece in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if hasher is None or k != now:
-                    if hasher is not None:
-                        keys.append(now)
-                        values.append(hasher.digest())
-                    now, hasher = k, HASHERS[algorithm]()
-                hasher.update(piece)
-            if keys:
-                yield done(keys, values)
+            names, pieces = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            starts = [i for i, k in enumerate(names) if i == 0 or k != names[i - 1]]
+            keys, values, whole, messages = [], [], [], []
+            for first, end in zip(starts, [*starts[1:], len(names)], strict=True):
+                member = b"".join(pieces[first:end])
+                if hasher is not None and names[first] != now:
+                    keys.append(now)
+                    values.append(hasher.digest())
+                    hasher = None
+                if hasher is None and end < len(names):
+                    whole.append(names[first])
+                    messages.append(member)
+                    continue
+                if hasher is None:
+                    now, hasher = names[first], HASHERS[algorithm]()
+                hasher.update(member)
+            if keys or whole:
+                yield done(keys + whole, values + MANY[algorithm](messages))
         if hasher is not None:
             yield done([now], [hasher.digest()])
 

@@ -1,11 +1,13 @@
 import hashlib
+import os
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from stowage.functions import binary, codec, listing, paths
+from stowage.functions import binary, blake3, codec, listing, paths
 from stowage.functions.blake3 import Hasher, digests
 from stowage.functions.inflate_strict import long_form_258, may_hold_258
 from stowage.operators import chunks
@@ -192,3 +194,41 @@ def test_dictionary_id():
     words = b"some words of a dictionary"
     assert codec.dictionary_id(codec.encode(b"some words", wrapped=True, dictionary=words)) == zlib.adler32(words)
     assert codec.dictionary_id(codec.encode(b"some words", wrapped=True)) is None
+
+
+@pytest.mark.parametrize("algorithm", ["sha256", "blake3"])
+def test_members_over_batches_in_any_cut(spark, monkeypatch, algorithm):
+    members = {k: os.urandom(n) for k, n in enumerate([1, 9000, 0, 64, 40_000, 1024, 1025, 300_000, 3])}
+    rows = [(k, i, m[i * 4096 : (i + 1) * 4096]) for k, m in members.items() for i in range(max(1, -(-len(m) // 4096)))]
+    run = _captured(spark, monkeypatch, algorithm)
+    whole = hashlib.sha256 if algorithm == "sha256" else None
+    want = {k: whole(m).digest() if whole else digests([m])[0] for k, m in members.items()}
+    for size in (1, 2, 3, 7, len(rows)):
+        found = [r for b in run(_batches(rows, size)) for r in b.to_pylist()]
+        assert len(found) == len(want)
+        assert {r["k"]: r["digest"] for r in found} == want
+
+
+def test_blake3_members_of_a_batch_go_through_the_rounds_together(spark, monkeypatch):
+    run = _captured(spark, monkeypatch, "blake3")
+    calls, real = [], blake3.compress
+    monkeypatch.setattr(blake3, "compress", lambda *a: calls.append(1) or real(*a))
+    rows = [(k, 0, bytes([k % 251]) * (k + 1)) for k in range(400)]
+    assert len([r for b in run(_batches(rows, 400)) for r in b.to_pylist()]) == 400
+    # 16 blocks of a chunk for all members at once, as many for the last member, which may go on.
+    assert len(calls) <= 32
+
+
+def _captured(spark, monkeypatch, algorithm):
+    """What ``digest_members`` runs on the batches of a task."""
+    df, found = spark.createDataFrame([(1, 0, b"")], "k long, chunk_index long, d binary"), []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "mapInArrow", lambda self, fn, schema: found.append(fn))
+        chunks.digest_members(df, "k", "d", algorithm)
+    return found[0]
+
+
+def _batches(rows, size):
+    schema = pa.schema([("k", pa.int64()), ("chunk_index", pa.int64()), ("d", pa.binary())])
+    for at in range(0, len(rows), size):
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[at : at + size]], schema)
