@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F, types as T
 CHUNK = 2**20
 BEYOND = 2**64
 HEADER, FOOTER, FIXED = 16, 64, 79
+#: Bytes that ``adler32_native`` takes without a loop; beyond the most that their weighted sum is.
+UNROLLED, BOTH = 32, 2**20
 
 
 def big(value: Column) -> Column:
@@ -72,13 +74,27 @@ def adler32(data: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def adler32_native(data: Column) -> Column:
-    """The same without Python, from its closed form; for short values."""
-    size = F.octet_length(data)
-    places = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    byte = lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long")
-    low = F.aggregate(places, F.lit(1).cast("long"), lambda s, i: (s + byte(i)) % 65521)
-    high = F.aggregate(places, size.cast("long"), lambda s, i: (s + (size - i + 1) * byte(i)) % 65521)
-    return high % 65521 * 65536 + low
+    """The same without Python, from its closed form; for short values.
+
+    The first ``UNROLLED`` bytes are terms of one sum in generated code, of which each gives its byte to both sums
+    at once; only what is longer takes lambdas, which Spark interprets.
+    """
+    size = F.octet_length(data).cast("long")
+    # Latin-1 has the bytes as its code points. Beyond the end are empty texts, of value 0.
+    text = F.decode(F.substring(data, 1, UNROLLED), "ISO-8859-1")
+    term = lambda i: F.ascii(F.substring(text, i, 1)) * F.lit(BOTH + UNROLLED + 1 - i).cast("long")
+    both = sum((term(i) for i in range(2, 9)), term(1))
+    for at in range(8, UNROLLED, 8):
+        more = sum((term(i) for i in range(at + 2, at + 9)), term(at + 1))
+        both = both + F.when(size > at, more).otherwise(F.lit(0).cast("long"))
+    first = F.shiftright(both, BOTH.bit_length() - 1)
+    byte = lambda i: F.ascii(F.decode(F.substring(data, i, F.lit(1)), "ISO-8859-1")).cast("long")
+    places = F.sequence(F.lit(UNROLLED + 1), F.octet_length(data))
+    rest = lambda step: F.when(size > UNROLLED, F.aggregate(places, F.lit(0).cast("long"), step)).otherwise(F.lit(0).cast("long"))
+    low = first + 1 + rest(lambda s, i: (s + byte(i)) % 65521)
+    # Weights count from the last unrolled byte; the end of the value is so much further, or nearer.
+    high = size + both % BOTH + first * (size - UNROLLED) + rest(lambda s, i: (s + (size - i + 1) * byte(i)) % 65521)
+    return high % 65521 * 65536 + low % 65521
 
 
 def index_entry_size(path: Column, link: Column, kind: Column, chunks: Column) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 import zlib
 
 import pyarrow as pa
@@ -232,3 +233,13 @@ def _batches(rows, size):
     schema = pa.schema([("k", pa.int64()), ("chunk_index", pa.int64()), ("d", pa.binary())])
     for at in range(0, len(rows), size):
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[at : at + size]], schema)
+
+
+def test_native_adler_loops_only_over_long_values(spark):
+    data = [os.urandom(n) for n in range(70)] + [b"\xff" * n for n in range(70)] + [bytes(40), "\u00e9\u6f22|1".encode(), None]
+    rows = spark.createDataFrame(list(enumerate(data)), "i int, d binary").select("i", binary.adler32_native(F.col("d")).alias("a"))
+    assert {r.i: r.a for r in rows.collect()} == {i: None if d is None else zlib.adler32(d) for i, d in enumerate(data)}
+    # Spark interprets these loops; each must be behind a question for the length.
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    before = [plan[: m.start()] for m in re.finditer(r"\baggregate\(", plan)]
+    assert before and all(re.search(r"octet_length\(d#\d+\)[^W]* > [^W]*32[^W]* THEN $", x) for x in before)
